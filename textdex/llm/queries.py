@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdex.llm import distinctive, heavy, termcounts
+from textdex.llm import distinctive, heavy, leaks, looks, termcounts
 from textdex.session import load
 
 
@@ -42,6 +42,22 @@ def p5_zscores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "rec_no", "word", "attribute", "n", "df", "score")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).filter("run >= 12").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(load(spark, d, "documents"), load(spark, d, "benchmark"), words=12, budget=1)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_pairs(load(spark, d, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_classes(load(spark, d, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_texts")
+
+
 P1_SQL = """
 WITH t AS (SELECT token_id, file_id, rec_no, lower(any_value(word)) AS word, coalesce(max(totalcount), 0) AS n
            FROM token GROUP BY ALL),
@@ -84,7 +100,7 @@ QUALIFY row_number() OVER (PARTITION BY file_id, rec_no ORDER BY score DESC, wor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p5_found, p5_zscores)}
+    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p5_found, p5_zscores, p7_found, p7_leaks, p8_found, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
