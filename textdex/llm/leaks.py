@@ -12,6 +12,7 @@ characters that look the same, so case, punctuation, line breaks, quote marks, m
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -167,7 +168,7 @@ def _blocks(items: DataFrame, words: int) -> Iterator[list[tuple[int, list[str]]
         yield block
 
 
-_AUTOMATA: dict[tuple, Pieces] = {}
+_AUTOMATA: dict[str, Pieces] = {}
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, words: int = 12, budget: int = 1) -> DataFrame:
@@ -205,7 +206,7 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searcher(sent, words: int, budget: int, ready: bool):
-    key = (sent.id, words, budget)
+    key = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _AUTOMATA:
