@@ -37,6 +37,16 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_file(spark: SparkSession, local: str, folder: str) -> str:
+    """Copies a file of the driver into the shared `folder`; its path there."""
+    jvm = spark._jvm
+    source, to = jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(local)), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(to)
+    fs.copyFromLocalFile(False, True, source, to)
+    return f"{folder}/{os.path.basename(local)}"
+
+
 def tasks_of(spark: SparkSession) -> int:
     """Number of reduce tasks the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
