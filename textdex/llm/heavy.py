@@ -63,24 +63,27 @@ def summary(df: DataFrame, value: str, weight: str | None, k: int) -> DataFrame:
     rows = df.select(F.col(value).cast("string").alias("value"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("count"))
     rows = rows.filter("value is not null and count > 0")
 
-    def first(batches):
-        from pyspark import TaskContext
+    return merged(rows.mapInArrow(summariser(k), SUMMARY), rows.rdd.getNumPartitions(), k)
 
-        return _summarise(batches, k, lambda: TaskContext.get().partitionId())
 
-    out = rows.mapInArrow(first, SUMMARY)
-    parts = max(1, rows.rdd.getNumPartitions())
-    while True:
-        groups = max(1, -(-parts // FAN_IN))
+def summariser(k: int, rows=lambda batches: batches):
+    """A mapInArrow function: one summary for each partition of (value, count) batches, after `rows` of the batches."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        return _summarise(rows(batches), k, lambda: TaskContext.get().partitionId())
 
-        def merge(batches):
-            from pyspark import TaskContext
+    return run
 
-            return _summarise(batches, k, lambda: TaskContext.get().partitionId())
 
-        out = out.withColumn("part", F.pmod("part", F.lit(groups))).repartitionById(groups, "part").mapInArrow(merge, SUMMARY)
+def merged(summaries: DataFrame, parts: int, k: int) -> DataFrame:
+    """(value, count): the summaries of `parts` partitions (value, count, part) merged into one, level by level."""
+    while True:
+        groups = max(1, -(-parts // FAN_IN))
+        summaries = summaries.withColumn("part", F.pmod("part", F.lit(groups))).repartitionById(groups, "part").mapInArrow(summariser(k), SUMMARY)
         if groups == 1:
-            return out.select("value", "count")
+            return summaries.select("value", "count")
         parts = groups
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdex.llm import distinctive, heavy, leaks, looks, termcounts
+from textdex.llm import distinctive, encode, heavy, leaks, looks, termcounts
 from textdex.session import load
 
 
@@ -42,6 +42,10 @@ def p5_zscores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "rec_no", "word", "attribute", "n", "df", "score")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(load(spark, d, "documents"), tokenizer="byte_bpe_50k")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).filter("run >= 12").select("doc_id", "item_id")
 
@@ -100,7 +104,7 @@ QUALIFY row_number() OVER (PARTITION BY file_id, rec_no ORDER BY score DESC, wor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p5_found, p5_zscores, p7_found, p7_leaks, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p5_found, p5_zscores, p6_ids, p7_found, p7_leaks, p8_found, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
