@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdex.llm import distinctive, encode, heavy, leaks, looks, termcounts
+from textdex.llm import distinctive, encode, heavy, leaks, looks, mojibake, termcounts
 from textdex.session import load
 
 
@@ -33,6 +33,10 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return heavy.heavy_hitters(words, "word", "freq", 0.001).select(F.col("value").alias("word"), F.col("total").alias("freq"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair(load(spark, d, "attr_value"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(load(spark, d, "token"), "tf_idf").select("file_id", "rec_no", "word", "attribute")
 
@@ -104,7 +108,7 @@ QUALIFY row_number() OVER (PARTITION BY file_id, rec_no ORDER BY score DESC, wor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p5_found, p5_zscores, p6_ids, p7_found, p7_leaks, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p4_found, p5_found, p5_zscores, p6_ids, p7_found, p7_leaks, p8_found, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
