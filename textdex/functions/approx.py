@@ -94,37 +94,65 @@ def _tester(p: tuple, icase: bool):
     return lambda c, n=p[2]: (c in chars or any(a <= c <= b for a, b in spans)) != n
 
 
-def weighted_distance(text: str, positions: list[tuple], most: int, insert: int, delete: int, substitute: int, begin: bool = False, end: bool = False) -> int:
-    """Least cost of edits that make a part of `text` match; most + 1 if it is above `most`. In a zone no edit is
-    allowed; a gap takes any characters at no cost."""
-    far = most + 1
-    m = len(positions)
+class Lazy:
+    """A deterministic automaton made as it is needed: states are whatever `step` returns, and each transition is computed
+    once. value gives the cost a state stands for."""
+
+    MOST = 200_000
+
+    def __init__(self, start, step, value):
+        self.start, self.step, self.value, self.known = start, step, value, {}
+
+    def run(self, text: str, each: bool = True) -> int:
+        """Least value over all states passed (each), or the value of the last one."""
+        known, state = self.known, self.start
+        best = self.value(state)
+        for c in text:
+            pair = known.get((state, c))
+            if pair is None:
+                if len(known) > self.MOST:
+                    known.clear()
+                new = self.step(state, c)
+                pair = known[state, c] = (new, self.value(new))
+            state = pair[0]
+            if each:
+                if pair[1] < best:
+                    best = pair[1]
+                    if not best:
+                        return 0
+            else:
+                best = pair[1]
+        return best
+
+
+def weighted(positions: list[tuple], most: int, insert: int, delete: int, substitute: int, begin: bool = False, end: bool = False):
+    """str -> least cost of edits that make a part of it match, most + 1 if above `most`. In a zone no edit is allowed; a
+    gap takes any characters at no cost. begin, end: the match starts or ends with the text."""
+    far, m = most + 1, len(positions)
     zones = [z for _, z in positions]
-    # in a zone: inserting between two positions of the same zone is an edit inside it
-    col = [0] + [far] * m
-    for j in range(m):
-        t, z = positions[j]
-        col[j + 1] = col[j] if t == "gap" else (min(far, col[j] + delete) if not z else far)
-    best = col[m] if not end or not text else far
-    for n, c in enumerate(text):
-        old, col = col, [far if begin else 0] + [far] * m
-        for j in range(m):
-            t, z = positions[j]
+
+    def first() -> tuple:
+        col = [0] + [far] * m
+        for j, (t, z) in enumerate(positions):
+            col[j + 1] = col[j] if t == "gap" else far if z else min(far, col[j] + delete)
+        return tuple(col)
+
+    def step(old: tuple, c: str) -> tuple:
+        col = [min(far, old[0] + insert) if begin else 0] + [far] * m
+        for j, (t, z) in enumerate(positions):
             if t == "gap":
                 col[j + 1] = min(old[j + 1], col[j], old[j])
                 continue
-            cost = old[j] if t(c) else (far if z else old[j] + substitute)
+            cost = old[j] if t(c) else far if z else old[j] + substitute
             if not z:
                 cost = min(cost, col[j] + delete)
-            inside = z and j + 1 < m and zones[j + 1]
-            if not inside:
+            if not (z and j + 1 < m and zones[j + 1]):  # between two positions of a zone nothing may be put in
                 cost = min(cost, old[j + 1] + insert)
             col[j + 1] = min(cost, far)
-        if (not end or n == len(text) - 1) and col[m] < best:
-            best = col[m]
-        if not best and not end:
-            return 0
-    return best
+        return tuple(col)
+
+    lazy = Lazy(first(), step, lambda col: col[m])
+    return lambda text: lazy.run(text, not end)
 
 
 class Automaton:
@@ -193,22 +221,17 @@ class Automaton:
                     todo.append(t)
         return frozenset(seen)
 
-    def distance(self, text: str, most: int) -> int:
-        """Least number of edits that make a part of `text` match; most + 1 if above."""
+    def matcher(self, most: int):
+        """str -> least number of edits that make a part of it match; most + 1 if above."""
 
-        def spread(layers: list[set[int]]) -> list[set[int]]:
+        def spread(layers: list[set[int]]) -> tuple:
             for k in range(len(layers)):
                 layers[k] = set().union(*[self.closure[s] for s in layers[k]]) if layers[k] else set()
                 if k + 1 < len(layers):  # a position left out
                     layers[k + 1] |= {self.step[s][1] for s in layers[k] if self.step[s]}
-            return layers
-
-        def least(layers) -> int:
-            return next((k for k, x in enumerate(layers) if self.end in x), most + 1)
+            return tuple(map(frozenset, layers))
 
-        layers = spread([{self.start}] + [set() for _ in range(most)])
-        best = least(layers)
-        for c in text:
+        def step(layers: tuple, c: str) -> tuple:
             new: list[set[int]] = [{self.start}] + [set() for _ in range(most)]
             for k, states in enumerate(layers):
                 for s in states:
@@ -220,21 +243,20 @@ class Automaton:
                             new[k + 1].add(to)
                     if k < most:
                         new[k + 1].add(s)
-            layers = spread(new)
-            best = min(best, least(layers))
-            if not best:
-                return 0
-        return best
+            return spread(new)
+
+        start = spread([{self.start}] + [set() for _ in range(most)])
+        return Lazy(start, step, lambda layers: next((k for k, x in enumerate(layers) if self.end in x), most + 1)).run
 
 
 def distance_function(text: str, o: P.Options):
     """str -> least cost of a match of the term, errors + 1 if above the errors allowed."""
     begin, parts, end = P.lex(text, o.constant)
     if P.is_regex(parts):
-        nfa = Automaton(parts, o.icase)
-        return lambda s: nfa.distance(s.lower() if o.icase else s, o.errors)
-    positions = _positions(parts, o.icase)
-    return lambda s: weighted_distance(s.lower() if o.icase else s, positions, o.errors, o.insert, o.delete, o.substitute, begin, end)
+        of = Automaton(parts, o.icase).matcher(o.errors)
+    else:
+        of = weighted(_positions(parts, o.icase), o.errors, o.insert, o.delete, o.substitute, begin, end)
+    return (lambda s: of(s.lower())) if o.icase else of
 
 
 def distance(rec: Column, text: str, o: P.Options) -> Column:
@@ -279,17 +301,19 @@ def word_within(rec: Column, text: str, o: P.Options) -> Column:
 
 def subsequence_within(rec: Column, text: str, errors: int, icase: bool = False) -> Column:
     """Whether all but `errors` characters of `text` occur in `rec` in order, others between them: the longest common
-    subsequence, by an array program of built-in functions."""
+    subsequence, bit-parallel in one column of built-in functions."""
+    if len(text) > BITS:
+        raise P.PatternError("the pattern does not fit the bit-parallel program")
     text, rec = (text.lower(), F.lower(rec)) if icase else (text, rec)
-    m = len(text)
-
-    def step(acc: Column, c: Column) -> Column:
-        # acc[j]: longest common subsequence with the first j characters; built from left to right
-        def grow(row: Column, j: Column) -> Column:
-            hit = F.when(F.element_at(F.lit(list(text)), j) == c, F.element_at(acc, j) + 1).otherwise(0)
-            return F.concat(row, F.array(F.greatest(F.element_at(acc, j + 1), F.element_at(row, -1), hit)))
+    full = F.lit((1 << len(text)) - 1).cast("long")
+    masks = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in dict.fromkeys(text)}
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(m)), F.array(F.lit(0)), grow)
+    def step(v: Column, c: Column) -> Column:
+        m = F.lit(0).cast("long")
+        for x, bits in masks.items():
+            m = F.when(c == x, F.lit(bits).cast("long")).otherwise(m)
+        # zero bits count the common subsequence
+        return (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
 
-    row = F.aggregate(F.split(rec, ""), F.array_repeat(F.lit(0), m + 1), step)
-    return F.element_at(row, -1) >= m - errors
+    left = F.aggregate(F.split(rec, ""), full, step)
+    return F.bit_count(left) <= errors

@@ -34,7 +34,7 @@ def dictionary(weighted: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
 
 def encode(text: Column, words: dict[str, int]) -> Column:
     """array<struct<id INT, raw STRING>>: a dictionary word as its number, anything else as raw text."""
-    table = F.lit(words) if words else F.create_map().cast("map<string,int>")
+    table = F.map_from_arrays(F.lit(list(words)), F.lit(list(words.values()))) if words else F.create_map().cast("map<string,int>")
     return F.transform(pieces(text), lambda w: F.struct(F.try_element_at(table, w).alias("id"), F.when(F.try_element_at(table, w).isNull(), w).alias("raw")))
 
 

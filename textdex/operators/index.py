@@ -124,7 +124,7 @@ def all_of(sets: list[DataFrame]) -> DataFrame:
     every = sets[0].withColumn("s", F.lit(0))
     for n, s in enumerate(sets[1:], 1):
         every = every.unionByName(s.withColumn("s", F.lit(n)))
-    return every.groupBy("file_id").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("s"))).alias("m")).filter(F.col("m") == (1 << len(sets)) - 1).select("file_id")
+    return every.groupBy("file_id").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("m")).filter(F.col("m") == (1 << len(sets)) - 1).select("file_id")
 
 
 def any_of(sets: list[DataFrame]) -> DataFrame:
@@ -209,20 +209,29 @@ def write_sorted(postings: DataFrame, path: str, buckets: int) -> None:
 
 @dataclass
 class Index:
-    """A file-level index with its vocabulary, kept as tables."""
+    """A file-level index with its vocabulary, kept as tables. long_files: files with a word too long for the index;
+    where part of a word is looked up they stay candidates."""
 
     postings: DataFrame
     vocab: DataFrame
+    long_files: DataFrame
 
     @classmethod
     def build(cls, files: DataFrame, numbers: bool = False) -> "Index":
         p = postings_file(files, numbers)
-        return cls(p, vocabulary(p))
+        letters = r"\p{L}\p{Nd}_" if numbers else r"\p{L}_"
+        return cls(p, vocabulary(p), files.filter(F.col("text").rlike(f"[{letters}]{{{T.MAX_WORD + 1}}}")).select("file_id"))
 
     def save(self, path: str, buckets: int = 16) -> None:
         write_sorted(self.postings, f"{path}/postings", buckets)
         self.vocab.repartitionByRange(buckets, "word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocab")
+        self.long_files.write.mode("overwrite").parquet(f"{path}/long_files")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "Index":
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"))
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocab", "long_files")))
+
+    def candidates(self, word: str, whole: bool = False) -> DataFrame:
+        """(file_id) of the files that may hold the word; where it may be part of a word, also those with long words."""
+        found = candidates(self.postings, word, whole)
+        return found if whole else found.unionByName(self.long_files).distinct()

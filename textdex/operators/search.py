@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textdex.functions import text as T
 from textdex.operators import index as I
 from textdex.plans import pattern as P
-from textdex.plans.compile import compile, query_column, term_column
+from textdex.plans.compile import compile, query_column, query_prefilter, term_column
 
 
 def candidate_files(q: P.Query, o: P.Options, idx: I.Index, files: DataFrame, stop: DataFrame | None = None, scope_file: bool = False) -> DataFrame | None:
@@ -30,7 +30,7 @@ def candidate_files(q: P.Query, o: P.Options, idx: I.Index, files: DataFrame, st
     if stop is not None and words:
         stopped = {r["word"] for r in stop.filter(F.col("word").isin([w for w, _ in words])).collect()}  # at most one row a term word
         words = [(w, whole) for w, whole in words if w not in stopped]
-    sets = [I.candidates(idx.postings, w, whole) for w, whole in words]
+    sets = [idx.candidates(w, whole) for w, whole in words]
     return I.all_of(sets) if sets else None
 
 
@@ -47,6 +47,13 @@ def search(files: DataFrame, pattern: str, index: I.Index | None = None, delim:
         if side is not None:
             files = files.join(I.maybe_broadcast(side.select("file_id").distinct()), "file_id", "left_semi")
     recs = T.records(files, delim, offsets)
+    return searched(recs, q, o)
+
+
+def searched(recs: DataFrame, q: P.Query, o: P.Options) -> DataFrame:
+    """The records (rec, ...) that satisfy the tree; what built-in functions can rule out never reaches Python."""
+    if o.errors and not o.supersequence:
+        recs = recs.filter(query_prefilter(q, F.col("rec"), o))
     return recs.filter(query_column(q, F.col("rec"), o))
 
 
@@ -122,7 +129,7 @@ def best_match(files: DataFrame, pattern: str, most: int = 8) -> DataFrame:
     than its length; edits are tried from 0 up, so the costly programs run only where nothing nearer exists."""
     recs = T.records(files)
     for k in range(min(most, len(pattern) - 1) + 1):
-        hits = recs.filter(compile(pattern, errors=k))
+        hits = searched(recs, P.Term(pattern), P.Options(errors=k, constant=True))
         if hits.limit(1).count():
             return hits.withColumn("dist", F.lit(k))
     return recs.limit(0).withColumn("dist", F.lit(0))

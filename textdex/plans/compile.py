@@ -56,6 +56,16 @@ def query_column(q: P.Query, rec: Column, o: P.Options, attribute: Column | None
     return hit
 
 
+def query_prefilter(q: P.Query, rec: Column, o: P.Options) -> Column:
+    """What every record that satisfies the tree within the errors fulfils, in built-in functions."""
+    if isinstance(q, P.Not):
+        return F.lit(True)
+    if isinstance(q, P.Term):
+        return approx.prefilter(rec, P.lex(q.text, o.constant)[1], o)
+    a, b = query_prefilter(q.left, rec, o), query_prefilter(q.right, rec, o)
+    return a & b if isinstance(q, P.And) else a | b
+
+
 def compile(text: str, rec: Column | str = "rec", attribute: Column | None = None, **options) -> Column:
     """A Boolean column: whether `rec` matches the pattern `text` under the options (see pattern.Options)."""
     o = P.Options(**options)

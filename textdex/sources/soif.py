@@ -63,7 +63,7 @@ def from_fields(lines: DataFrame, sep: str = ":", strip_digit: bool = False) ->
     lines: (file_id, rec_no, rec). Lines before the first attribute are left out; the parts of a value are joined by line
     ends. With strip_digit a digit at the end of a name is taken off. n is the attribute's place in the file.
     """
-    head = rf"^([A-Za-z][A-Za-z0-9_-]*)[ \t]*{sep}[ \t]*(.*)$"
+    head = rf"(?d)^([A-Za-z][A-Za-z0-9_-]*)[ \t]*{sep}[ \t]*(.*)$"
     rows = lines.withColumn("name", F.nullif(F.regexp_extract("rec", head, 1), F.lit(""))).withColumn("part", F.when(F.col("name").isNotNull(), F.regexp_extract("rec", head, 2)).otherwise(F.trim("rec")))
     order = Window.partitionBy("file_id").orderBy("rec_no")
     rows = rows.withColumn("n", F.count("name").over(order)).filter("n > 0")
