@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,25 @@ def dictionary(weighted: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
     return {r["word"]: n for n, r in enumerate(top_words(weighted, most).collect())}
 
 
+#: Parts of the dictionary: a map column is searched from end to end, so it is cut by a hash of the word.
+PARTS = 256
+
+
+def _numbers(words: dict[str, int]):
+    """Column of words -> column of their numbers, null for others."""
+    parts: list[dict[str, int]] = [{} for _ in range(PARTS)]
+    for w, n in words.items():
+        parts[zlib.crc32(w.encode()) % PARTS][w] = n
+    none = F.create_map().cast("map<string,int>")
+    table = F.array(*[F.map_from_arrays(F.lit(list(p)), F.lit(list(p.values()))) if p else none for p in parts])
+    return lambda w: F.try_element_at(F.element_at(table, (F.pmod(F.crc32(w), F.lit(PARTS)) + 1).cast("int")), w)
+
+
 def encode(text: Column, words: dict[str, int]) -> Column:
     """array<struct<id INT, raw STRING>>: a dictionary word as its number, anything else as raw text."""
-    table = F.map_from_arrays(F.lit(list(words)), F.lit(list(words.values()))) if words else F.create_map().cast("map<string,int>")
-    return F.transform(pieces(text), lambda w: F.struct(F.try_element_at(table, w).alias("id"), F.when(F.try_element_at(table, w).isNull(), w).alias("raw")))
+    number = _numbers(words)
+    coded = F.transform(pieces(text), lambda w: F.struct(number(w).alias("id"), w.alias("raw")))
+    return F.transform(coded, lambda c: F.struct(c["id"].alias("id"), F.when(c["id"].isNull(), c["raw"]).alias("raw")))
 
 
 def decode(code: Column, words: dict[str, int]) -> Column:

@@ -112,8 +112,10 @@ def containing(vocab: DataFrame, word: str) -> DataFrame:
 
 
 def candidates(postings: DataFrame, word: str, whole: bool = False) -> DataFrame:
-    """(file_id) of files with the word, or with a word that contains it."""
-    hit = F.col("word") == word.lower() if whole else F.col("word").contains(word.lower())
+    """(file_id) of files with the word, or with a word that contains it. A whole word may also be bounded by _, which
+    is a letter of the index but none of the records' words."""
+    part = F.col("word").contains(word.lower())
+    hit = (F.col("word") == word.lower()) | (part & F.col("word").contains("_")) if whole else part
     return postings.filter(hit).select("file_id").distinct()
 
 
@@ -232,6 +234,6 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocab", "long_files")))
 
     def candidates(self, word: str, whole: bool = False) -> DataFrame:
-        """(file_id) of the files that may hold the word; where it may be part of a word, also those with long words."""
+        """(file_id) of the files that may hold the word: those with it, and those with words too long for the index."""
         found = candidates(self.postings, word, whole)
-        return found if whole else found.unionByName(self.long_files).distinct()
+        return found.unionByName(self.long_files).distinct()

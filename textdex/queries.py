@@ -479,7 +479,7 @@ def best_match_records(spark, d):
 
 def _sets(spark, d, *words):
     p = I.postings_file(docs(spark, d))
-    return [I.candidates(p, w, True) for w in words]
+    return [p.filter(F.col("word") == w).select("file_id").distinct() for w in words]
 
 
 @query(f"WITH {POST} SELECT file_id FROM p WHERE word = 'would' INTERSECT SELECT file_id FROM p WHERE word = 'there'")
