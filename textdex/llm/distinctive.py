@@ -49,7 +49,7 @@ def distinctive_terms(tokens: DataFrame, score: str = "log_odds", top: int = 3,
     else:
         all_n, records = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
         all_n, mean = float(all_n or 0), float(all_n or 0) / max(1, records)
-        rows = rows.join(sizes, RECORD)  # by record: both sides have the record's rows only
+        rows = rows.filter("total > 0").join(sizes, RECORD)  # a term of null counts only has no odds
         a = F.lit(prior * mean) * F.col("total") / F.lit(max(all_n, 1.0))
         y, rest, a0 = F.col("n"), F.col("total") - F.col("n"), F.lit(prior * mean)
         inside = F.log((y + a) / (F.col("size") + a0 - y - a))

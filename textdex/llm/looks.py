@@ -53,7 +53,7 @@ def look_table() -> dict[int, str | None]:
     for plain, others in LOOK_ALIKE.items():
         table |= {ord(c): plain for c in others}
     table.pop(0x20, None)
-    return table
+    return {cp: to and to.translate(table) for cp, to in table.items()}
 
 
 @functools.cache

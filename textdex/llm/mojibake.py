@@ -72,12 +72,12 @@ def _letter(c: str) -> bool:
 
 
 @functools.cache
-def sequences() -> dict[str, tuple[str, bool]]:
-    """Damaged sequence -> (character, weak): UTF-8 of every character read in every wrong encoding, the first encoding
-    of the list in case of a tie; also with each byte the encoding leaves open lost. Weak: letters of one script only."""
+def sequences() -> dict[str, tuple[dict[str, str], bool]]:
+    """Damaged sequence -> (wrong encoding -> character, weak): UTF-8 of every character read in every wrong encoding, also
+    with each byte the encoding leaves open lost. Weak: letters of one script only."""
     import unicodedata
 
-    out: dict[str, tuple[str, bool]] = {}
+    out: dict[str, tuple[dict[str, str], bool]] = {}
     wanted = sorted(alphabet()) + [LOST, "\ufeff"]
     for name in WRONG_FOR_UTF8:
         chars = _maps(name)[1]
@@ -90,7 +90,7 @@ def sequences() -> dict[str, tuple[str, bool]]:
                     continue
                 scripts = {unicodedata.name(x, "?").split(" ")[0] for x in seq}
                 weak = all(map(_letter, seq)) and len(scripts) == 1
-                out.setdefault(seq, (LOST if LOST in seq else c, weak))
+                out.setdefault(seq, ({}, weak))[0].setdefault(name, LOST if LOST in seq else c)
     return out
 
 
@@ -99,8 +99,8 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for seq, (c, weak) in sequences().items():
-        a.add_word(seq, (len(seq), c, weak))
+    for seq, (chars, weak) in sequences().items():
+        a.add_word(seq, (len(seq), chars, weak))
     a.make_automaton()
     return a
 
@@ -138,18 +138,21 @@ class Reading:
 
 
 def _spans(text: str) -> list[tuple[int, int, str, bool]]:
-    """Longest matches from the left, without overlap: (begin, end, character, weak)."""
-    found: dict[int, tuple[int, str, bool]] = {}
-    for end, (n, c, weak) in automaton().iter(text):
+    """Longest matches from the left, without overlap: (begin, end, character, weak). A sequence that is another character
+    in another wrong encoding is read in the encoding that most sequences of the text have."""
+    found: dict[int, tuple[int, dict[str, str], bool]] = {}
+    for end, (n, chars, weak) in automaton().iter(text):
         begin = end - n + 1
         if begin not in found or found[begin][0] < end + 1:
-            found[begin] = (end + 1, c, weak)
+            found[begin] = (end + 1, chars, weak)
     out, at = [], 0
+    votes: Counter = Counter()
     for begin in sorted(found):
         if begin >= at:
-            at, c, weak = found[begin]
-            out.append((begin, at, c, weak))
-    return out
+            at, chars, weak = found[begin]
+            out.append((begin, at, chars, weak))
+            votes.update(chars.keys())
+    return [(b, e, chars[max(chars, key=votes.__getitem__)], weak) for b, e, chars, weak in out]
 
 
 def mend_sequences(text: str, reading: Reading) -> str:
@@ -211,13 +214,18 @@ def _tables() -> list[dict[int, str]]:
     return out
 
 
+def _evidence(text: str) -> list[str]:
+    """Words that say something about the encoding: not of ASCII only, nor signs and letters that stand alone, nor lines
+    drawn of characters, which occur in correct text in any combination."""
+    return [w for w in _WORD.findall(text) if len(w) > 1 and not w.isascii() and not all("\u2500" <= c <= "\u259f" for c in w)]
+
+
 def mend_pairs(text: str, reading: Reading) -> str:
     """`text` restored by the best single-byte pair, as a whole or, if only some words gain, in those words."""
     odd = {c for c in text if c > "\x7f"}
     if not odd:
         return text
-    # signs and letters that stand alone are no evidence: they occur in correct text, in any combination
-    words = [w for w in _WORD.findall(text) if len(w) > 1 and not w.isascii()]
+    words = _evidence(text)
     if not any(map(reading.odd, words)):  # only a text with a word that reads badly is tried
         return text
     before = sum(map(reading.word, words))
@@ -234,7 +242,7 @@ def mend_pairs(text: str, reading: Reading) -> str:
         if sum(n * single.get(c.lower(), none) for c, n in zip(to, times, strict=True)) < floor:
             continue
         after = text.translate(table)
-        gain = sum(reading.word(w) for w in _WORD.findall(after) if len(w) > 1 and not w.isascii()) - before
+        gain = sum(map(reading.word, _evidence(after))) - before
         if gain > most:
             best, most = after, gain
     return best
