@@ -69,20 +69,40 @@ def search_whole(files: DataFrame, pattern: str, delim: str = "\n", **options) -
         recs = recs.withColumn(f"__t{n}", F.coalesce(term_column(t.text, F.col("rec"), o), F.lit(False)))
     flags = recs.groupBy("file_id").agg(*[F.bool_or(f"__t{n}").alias(f"__t{n}") for n in range(len(ts))])
 
-    def judged(x: P.Query) -> Column:
-        if isinstance(x, P.Term):
-            return F.col(f"__t{ts.index(x)}")
-        if isinstance(x, P.Not):
-            return ~judged(x.of)
-        return judged(x.left) & judged(x.right) if isinstance(x, P.And) else judged(x.left) | judged(x.right)
-
-    good = flags.filter(judged(q)).select("file_id")
+    good = flags.filter(_judged(q, ts)).select("file_id")
     some = F.lit(False)
     for n in range(len(ts)):
         some = some | F.col(f"__t{n}")
     return recs.filter(some).join(good, "file_id", "left_semi").select("file_id", "rec_no", "rec")
 
 
+def search_attributes(values: DataFrame, pattern: str, **options) -> DataFrame:
+    """(file_id, name, value): the pattern judged over the attribute values (file_id, name, value) of whole files; terms
+    limited to an attribute match only there. Of the files that satisfy it, every value with one of its terms."""
+    o = P.Options(**options)
+    q = P.parse(pattern, o.constant)
+    P.validate(q, o)
+    ts = P.terms(q)
+    for n, t in enumerate(ts):
+        values = values.withColumn(f"__t{n}", query_column(t, F.col("value"), o, F.col("name")))
+    flags = values.groupBy("file_id").agg(*[F.bool_or(f"__t{n}").alias(f"__t{n}") for n in range(len(ts))])
+    some = F.lit(False)
+    for n in range(len(ts)):
+        some = some | F.col(f"__t{n}")
+    good = flags.filter(_judged(q, ts)).select("file_id")
+    return values.filter(some).join(good, "file_id", "left_semi").select("file_id", "name", "value")
+
+
+def _judged(q: P.Query, ts: list[P.Term]) -> Column:
+    """The tree over the flags __t0, __t1, ... of its terms."""
+    if isinstance(q, P.Term):
+        return F.col(f"__t{ts.index(q)}")
+    if isinstance(q, P.Not):
+        return ~_judged(q.of, ts)
+    a, b = _judged(q.left, ts), _judged(q.right, ts)
+    return a & b if isinstance(q, P.And) else a | b
+
+
 def count_per_file(hits: DataFrame) -> DataFrame:
     return hits.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 

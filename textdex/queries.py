@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textdex.corpus import Corpus
 from textdex.functions import approx, compress
 from textdex.functions import text as T
 from textdex.operators import attributes as A
@@ -142,6 +143,11 @@ def attr_eq(spark, d):
     return values(spark, d).filter(compile("title=the", "value", F.col("name"))).select("value_id", "name", "value")
 
 
+@query(f"WITH {VAL}, w AS (SELECT file_id FROM v GROUP BY 1 HAVING bool_or(name = 'title' AND contains(value, 'the')) AND bool_or(name = 'abstract' AND contains(value, 'and'))) SELECT file_id, name, value FROM v WHERE ((name = 'title' AND contains(value, 'the')) OR (name = 'abstract' AND contains(value, 'and'))) AND file_id IN (SELECT file_id FROM w)")
+def attr_bool(spark, d):
+    return S.search_attributes(values(spark, d), "title=the;abstract=and")
+
+
 @query(f"WITH {FIL} SELECT file_id FROM f WHERE date_diff('day', mtime::DATE, DATE '1998-06-30') <= 700")
 def age_days(spark, d):
     return S.in_days(files(spark, d), F.lit("1998-06-30").cast("date"), 700).select("file_id")
@@ -237,6 +243,12 @@ def offset_deltas(spark, d):
 THE = "contains(rec, 'the')"
 
 
+@query(f"WITH {REC}, h AS (SELECT path, rec_no, rec, file_id FROM r JOIN d USING (file_id) WHERE contains(path, 'list/') AND contains(lower(rec), 'subject') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY rec_no) <= 1) SELECT path, rec_no, rec FROM h ORDER BY file_id, rec_no LIMIT 50")
+def request(spark, d):
+    """Options as a user writes them: path pattern, letter case, limits, record numbers."""
+    return Corpus(docs(spark, d).withColumn("info", F.lit(None).cast("string"))).request(["-i", "-n", "-L", "50:0:1", "-F", "list/", "subject"])
+
+
 @query(f"WITH {REC} SELECT file_id, count(*) AS n FROM r WHERE {THE} GROUP BY 1")
 def count_per_file(spark, d):
     return S.count_per_file(S.search(docs(spark, d), "the"))
