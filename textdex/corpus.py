@@ -16,7 +16,7 @@ from textdex.functions import text as T
 from textdex.operators import index as I
 from textdex.operators import search as S
 from textdex.plans import pattern as P
-from textdex.session import shared_dir
+from textdex.session import shared_dir, ship
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Corpus:
     @classmethod
     def from_df(cls, df: DataFrame, id: str = "file_id", text: str = "text", path: str | None = None, mtime: str | None = None, info: str | None = None, deleted: str | None = None) -> "Corpus":
         """A corpus of the rows of `df`; absent columns are null, rows marked deleted are left out."""
+        ship(df.sparkSession)
         col = lambda name, kind: F.col(name) if name else F.lit(None).cast(kind)
         files = df.select(
             F.col(id).alias("file_id"), (F.col(path) if path else F.col(id).cast("string")).alias("path"), F.col(text).alias("text"),

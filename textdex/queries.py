@@ -777,7 +777,7 @@ def print_attr(spark, d):
 REGION = f"{VAL}, g AS (SELECT DISTINCT file_id, off AS b, length(value) AS l, attr_no FROM v), i AS (SELECT DISTINCT index AS file_id, off FROM indices WHERE index IS NOT NULL)"
 
 
-@query(f"WITH {REGION} SELECT DISTINCT i.file_id, i.off, coalesce(g.attr_no, 0) AS attr_id FROM i LEFT JOIN g ON i.file_id = g.file_id AND i.off >= b AND i.off < b + l")
+@query(f"WITH {REGION} SELECT DISTINCT CAST(i.file_id AS BIGINT) AS file_id, i.off, coalesce(g.attr_no, 0) AS attr_id FROM i LEFT JOIN g ON i.file_id = g.file_id AND i.off >= b AND i.off < b + l")
 def region_join(spark, d):
     v = values(spark, d).select("file_id", F.col("attr_no").alias("attr_id"), "off", "value")
     offs = load(spark, d, "indices").filter(F.col("index").isNotNull()).select(F.col("index").cast("long").alias("file_id"), "off").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,23 @@ def put_file(spark: SparkSession, local: str, folder: str) -> str:
     return f"{folder}/{os.path.basename(local)}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textdex_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as d:
+        local = os.path.join(d, "textdex.zip")
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(here):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.join("textdex", os.path.relpath(os.path.join(folder, n), here)))
+        sc.addPyFile(put_file(spark, local, shared_dir(spark, "package")))
+    sc._textdex_shipped = True
+
+
 def tasks_of(spark: SparkSession) -> int:
     """Number of reduce tasks the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
