@@ -80,6 +80,8 @@ def test_marks(spark, tokens):
     words = spark.createDataFrame([("ALL", 3), ("all", None), (None, 5)], "word string, freq int")
     got = {r.word: (r.occurrences, r.dict_freq, r.mark) for r in termcounts.marked_counts(store.counts(), store.n_records(), words).collect()}
     assert got == {"all": (20, 3, "common"), "one": (0, 0, "rare"), "two": (2, 0, "kept")}
+    exact = spark.createDataFrame([("x", 7, 7), ("y", 6, 6)], "term string, occurrences long, n_records long")
+    assert [r.mark for r in termcounts.marked_counts(exact, 70, words).orderBy("word").collect()] == ["common", "kept"]
 
 
 @pytest.mark.parametrize("k", [3, 10, 50])

@@ -9,6 +9,7 @@ merged in levels of a fixed fan-in, so no task holds more than FAN_IN * k counte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -99,9 +100,10 @@ def heavy_hitters(df: DataFrame, value: str, weight: str | None = None, support:
     k = max(1, round(slack / support))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     total = df.agg(F.sum(F.when(w > 0, w)).alias("n")).first()["n"] or 0
-    least = support * total
+    part = Fraction(str(support))  # exact at the limit
+    least = float(part * total)
     near = summary(df, value, weight, k).filter(F.col("count") >= F.lit(least - total / (k + 1) - 1)).select(F.col("value").alias("__value"), F.col("count").alias("at_least"))
     rows = df.select(F.col(value).cast("string").alias("__v"), w.alias("__w")).filter("__v is not null")
     near = near.sparkSession.createDataFrame(near.collect(), "__value string, at_least long")  # at most k rows
     out = rows.join(F.broadcast(near), F.col("__v") == F.col("__value")).groupBy("__v", "at_least").agg(F.sum(F.when(F.col("__w") > 0, F.col("__w"))).alias("total"))
-    return out.filter(F.col("total") >= F.lit(least)).select(F.col("__v").alias("value"), "total", "at_least")
+    return out.filter(F.col("total") * part.denominator >= F.lit(total * part.numerator)).select(F.col("__v").alias("value"), "total", "at_least")

@@ -12,11 +12,12 @@ version number), so a job that dies leaves the old version in force.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdex.session import shared_dir
+from textdex.session import shared_dir, written
 
 TERMS = "file_id long, rec_no int, term string, occ long"
 COUNTS = "term string, occurrences long, n_records long, bucket int"
@@ -108,6 +109,7 @@ class TermStore:
             new = self.spark.read.schema(TERMS).parquet(f"{self.path}/terms-{version}")
             deltas = signed_deltas(None, new)
         else:
+            new = written(new, "update")  # read several times below
             touched = new.select(*RECORD).distinct()
             if gone is not None:
                 touched = touched.unionByName(gone.select(*RECORD)).distinct()
@@ -139,5 +141,7 @@ def marked_counts(counts: DataFrame, n_records: int, dictionary: DataFrame, shar
     """
     freq = dictionary.select(F.lower("word").alias("__word"), "freq").filter("__word is not null").groupBy("__word").agg(F.sum(F.col("freq").cast("long")).alias("__freq"))
     out = counts.join(freq, counts["term"] == freq["__word"], "left")
-    mark = F.when(F.col("n_records") == 1, "rare").when(F.col("n_records") >= F.lit(n_records * share), "common").otherwise("kept")
+    part = Fraction(str(share))  # exact: a tenth of 70 is 7
+    common = F.col("n_records") * part.denominator >= F.lit(n_records * part.numerator)
+    mark = F.when(F.col("n_records") == 1, "rare").when(common, "common").otherwise("kept")
     return out.select(F.col("term").alias("word"), "occurrences", "n_records", F.coalesce("__freq", F.lit(0)).cast("long").alias("dict_freq"), mark.alias("mark"))
