@@ -563,8 +563,8 @@ def stop_word_query(spark, d):
 @query(f"WITH {POST} SELECT (SELECT count(DISTINCT file_id) FROM p WHERE contains(word, 'would')) AS n_candidates, (SELECT count(*) FROM d) AS n_files")
 def search_percent(spark, d):
     f = docs(spark, d)
-    found = I.candidates(I.postings_file(f), "would").agg(F.count(F.lit(1)).alias("n_candidates"))
-    return found.join(F.broadcast(f.agg(F.count(F.lit(1)).alias("n_files"))), F.lit(True))  # two rows of one value
+    found = I.candidates(I.postings_file(f), "would").withColumn("hit", F.lit(1))
+    return f.select("file_id").join(found, "file_id", "left").agg(F.count("hit").alias("n_candidates"), F.count(F.lit(1)).alias("n_files"))
 
 
 @query(hits("contains(rec, 'the') AND file_id % 7 = 0"))
