@@ -94,6 +94,7 @@ def test_proximity(spark):
     f = spark.createDataFrame([(1, gap(252)), (2, gap(253)), (3, "one"), (4, "two one")], "file_id long, text string")
     off = T.word_offsets(f)
     assert sorted(r.file_id for r in I.near(off, "one", "two", 256).collect()) == [1, 4]
+    assert rows(I.near_in_files(f, "One", "two", 256)) == rows(I.near(off, "one", "two", 256))
 
 
 def test_stop_rule(spark):

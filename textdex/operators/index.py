@@ -152,6 +152,14 @@ def near(offsets: DataFrame, first: str, second: str, limit: int = 256) -> DataF
     return left.join(right, (F.col("file_id") == F.col("f")) & (F.col("c") == F.col("rc")) & (F.abs(F.col("off") - F.col("o")) <= limit), "left_semi").select("file_id", "off")
 
 
+def near_in_files(files: DataFrame, first: str, second: str, limit: int = 256) -> DataFrame:
+    """`near` over the texts of (file_id, text); only files that hold both strings are scanned for words."""
+    if (first + second).isascii():
+        text = F.lower("text")
+        files = files.filter(text.contains(first.lower()) & text.contains(second.lower()))
+    return near(T.word_offsets(files), first, second, limit)
+
+
 def best_matches(vocab: DataFrame, word: str, most: int = 8) -> DataFrame:
     """(word, dist) of the vocabulary words nearest to `word`, with at most `most` edits and fewer than its letters."""
     limit = min(most, len(word) - 1)

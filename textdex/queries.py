@@ -532,7 +532,7 @@ def index_lines(spark, d):
 
 @query(f"WITH {OFFSETS} SELECT DISTINCT a.file_id, a.off FROM o a JOIN o b ON a.file_id = b.file_id AND abs(a.off - b.off) <= 256 WHERE contains(a.word, 'would') AND contains(b.word, 'there')")
 def proximity(spark, d):
-    return I.near(T.word_offsets(docs(spark, d)), "would", "there", 256)
+    return I.near_in_files(docs(spark, d), "would", "there", 256)
 
 
 @query(hits("regexp_matches(lower(rec), '(^|[^\\p{L}_])would($|[^\\p{L}_])') AND regexp_matches(lower(rec), '(^|[^\\p{L}_])with($|[^\\p{L}_])')").replace("file_id, rec_no, rec FROM r", "file_id, rec_no FROM r"))
