@@ -238,3 +238,16 @@ def test_live_index(spark, tmp_path):
     assert rows(live.postings().select("word", "file_id")) == Counter([("three", 1), ("two", 3)])
     live.apply(spark.createDataFrame(parts[1], schema), 1)  # the batch runs again
     assert rows(live.postings().select("word", "file_id")) == Counter([("three", 1), ("two", 3)])
+
+
+def test_by_age_places_every_file(spark):
+    times = [None if i % 3 == 0 else i % 7 for i in range(1000)]
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    files = spark.createDataFrame([(i, times[i]) for i in ids], "file_id long, t int").selectExpr("file_id", "timestamp_seconds(t) AS mtime")
+    want = sorted(range(1000), key=lambda i: (times[i] is None, -(times[i] or 0), i))
+    got = I.by_age(files.repartition(5)).orderBy("place").collect()
+    assert [r.file_id for r in got] == want and [r.place for r in got] == list(range(1, 1001))
+    same = I.by_age(files.withColumn("mtime", F.lit(None).cast("timestamp"))).orderBy("place").collect()
+    assert [r.file_id for r in same] == list(range(1000))
+    assert I.by_age(files.limit(0)).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textdex.functions import text as T
-from textdex.session import rows_below
+from textdex.session import rows_below, tasks_of, written
 
 #: Largest side that is broadcast, in rows; beyond it the planner joins by shuffling.
 BROADCAST_ROWS = 100_000
@@ -207,6 +207,23 @@ def renumbered(files: DataFrame) -> DataFrame:
     return ranks.join(sums, "range").select("file_id", (F.col("before") + F.col("rank")).cast("long").alias("new_id"))
 
 
+def by_age(files: DataFrame) -> DataFrame:
+    """(file_id, mtime, place): all files from the youngest on, places from 1 without holes; ties by id, null times last.
+
+    Sorted in ranges of (mtime, file_id), so that no task sees all files even if they share one time or have none. The
+    ranges are drawn by a sample, so their rows are written before they are counted: the count must see the same ranges.
+    """
+    age = F.desc_nulls_last("mtime"), F.asc_nulls_last("file_id")
+    ranges = files.select("file_id", "mtime").repartitionByRange(tasks_of(files.sparkSession), *age).sortWithinPartitions(*age)
+    # the number has the range above 33 bits and the row within it below
+    rows = written(ranges.withColumn("at", F.monotonically_increasing_id()), "by-age").withColumn("range", F.shiftright("at", 33))
+    sums = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each range
+    sums = sums.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(sums), "range").select("file_id", "mtime", place.alias("place"))
+
+
 def bitmap(ids: DataFrame) -> DataFrame:
     """(bucket, bits BINARY, n) of ids as bitmaps of 32,768."""
     return ids.groupBy(F.bitmap_bucket_number("file_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("file_id")).alias("bits")).withColumn("n", F.bitmap_count("bits"))

@@ -334,6 +334,12 @@ def files_by_age(spark, d):
     return first.select("file_id", "mtime", F.row_number().over(Window.orderBy(F.desc_nulls_last("mtime"), "file_id")).cast("long").alias("place"))
 
 
+@query(f"WITH {FIL} SELECT file_id, mtime, row_number() OVER (ORDER BY mtime DESC NULLS LAST, file_id) AS place FROM f")
+def files_by_age_all(spark, d):
+    """The whole order; files_by_age is its beginning."""
+    return I.by_age(files(spark, d))
+
+
 # whole-file scope
 
 
