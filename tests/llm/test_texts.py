@@ -172,6 +172,35 @@ def test_leak_with_an_edit(spark):
     assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(1, 5, 1)] and got[0].run < 12
 
 
+@pytest.mark.parametrize("edit", ["join", "letter"])
+def test_an_edit_between_pieces_is_found(edit):
+    ws = [f"w{i}x" for i in range(24)]
+    pieces = leaks.Pieces([(5, ws)], 12, 1)
+    for start in range(13):
+        run = ws[start : start + 12]
+        for gap in range(11):
+            joined = ("" if edit == "join" else "q").join(run[gap : gap + 2])
+            assert pieces.hits(["other", *run[:gap], joined, *run[gap + 2 :], "more"]).get(5, (0, 9))[1] == 1, (start, gap)
+
+
+def test_pieces_find_all_within_the_budget():
+    rng = random.Random(3)
+    for trial in range(400):
+        words, budget = rng.choice([(6, 1), (12, 1), (6, 2), (12, 2), (4, 0)])
+        ws = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(words, 30))]
+        at = rng.randint(0, len(ws) - words)
+        text = " ".join(ws[at : at + words])
+        for _ in range(rng.randint(0, budget + 1)):
+            i = rng.randrange(len(text) + 1)
+            text = text[:i] + rng.choice(["", "a", " "]) + text[i + rng.randint(0, 1) :]
+        doc = ["ab", *text.split(), "fe"]
+        least = min(leaks.myers(" ".join(ws[s : s + words]), " ".join(doc)) for s in range(len(ws) - words + 1))
+        got = leaks.Pieces([(1, ws)], words, budget).hits(doc)
+        assert ({i: d for i, (_, d) in got.items()}) == ({1: least} if least <= budget else {}), (trial, words, budget)
+        for run, _ in got.values():
+            assert run <= max((n for n in range(len(ws) + 1) for a in range(len(doc) - n + 1) if any(doc[a : a + n] == ws[b : b + n] for b in range(len(ws) - n + 1))), default=0)
+
+
 # tokenizer
 
 

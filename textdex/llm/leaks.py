@@ -1,9 +1,11 @@
 """Held-out test items that leaked into documents: pigeonhole edit matching.
 
 Every item is cut into pieces of consecutive words, short enough that any passage of `words` words holds budget + 1 whole
-pieces: a passage copied with at most `budget` edits then has a piece that is intact. Pieces are found by one multi-pattern
-automaton over the document's words, and each hit is verified: by the length of the exact run of words around it and,
-where that is short, by Myers' bit-parallel distance of the passages that hold the piece.
+pieces: a passage copied with at most `budget` edits then has a piece that is intact. A piece has no blank at its ends, so
+no two share a character and one edit breaks one piece at most; its outer words may be parts of longer ones, as where an
+edit joined two. Pieces are found by one multi-pattern automaton over the document's words, and each hit is verified: by
+the length of the exact run of words around it and, where that is short, by Myers' bit-parallel distance of the passages
+that hold the piece.
 
 What is compared are words (unbroken letters and digits) of the text a mail reader shows, in folded case and one form for
 characters that look the same, so case, punctuation, line breaks, quote marks, markup and transfer encodings do not count.
@@ -89,7 +91,7 @@ class Pieces:
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, ws) in enumerate(items):
             for at in range(0, len(ws) - self.size + 1, self.size):
-                where.setdefault(f" {' '.join(ws[at : at + self.size])} ", []).append((k, at))
+                where.setdefault(" ".join(ws[at : at + self.size]), []).append((k, at))
         self.find = ahocorasick.Automaton()
         for piece, at in where.items():
             self.find.add_word(piece, (len(piece), at))
@@ -102,24 +104,29 @@ class Pieces:
             return out
         starts, n = [], 1
         text = f" {' '.join(doc)} "
-        runs: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the last exact run there
+        runs: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the last leaked run there
         for end, (length, places) in self.find.iter(text):
             if not starts:
                 for w in doc:
                     starts.append(n)
                     n += len(w) + 1
-            p = bisect_right(starts, end - length + 2) - 1
+            begin = end - length + 1
+            p = bisect_right(starts, begin) - 1
+            # words of the piece that are whole words here: all but perhaps the outer ones
+            first, last = int(starts[p] != begin), self.size - int(text[end + 1] != " ")
             for k, at in places:
-                if runs.get((k, p - at), 0) > p:
+                if runs.get((k, p - at), 0) >= p + self.size:
                     continue
                 item, ws = self.items[k]
-                lo = 0
-                while lo < min(p, at) and doc[p - lo - 1] == ws[at - lo - 1]:
-                    lo += 1
-                hi = self.size
-                while p + hi < len(doc) and at + hi < len(ws) and doc[p + hi] == ws[at + hi]:
-                    hi += 1
-                run, runs[k, p - at] = lo + hi, p + hi
+                lo, hi = first, last
+                if lo < hi:
+                    while not first and p + lo > 0 and at + lo > 0 and doc[p + lo - 1] == ws[at + lo - 1]:
+                        lo -= 1
+                    while last == self.size and p + hi < len(doc) and at + hi < len(ws) and doc[p + hi] == ws[at + hi]:
+                        hi += 1
+                run = max(0, hi - lo)
+                if run >= self.words:
+                    runs[k, p - at] = p + hi
                 distance = 0 if run >= self.words else self._distance(doc, ws, p, at)
                 if distance <= self.budget:
                     r, d = out.get(item, (0, distance))
@@ -133,7 +140,8 @@ class Pieces:
             a = max(0, p - (at - s) - self.budget - 1)
             region, passage = doc[a : p + n - (at - s) + self.budget + 1], ws[s : s + n]
             kinds = set(passage)
-            if len(kinds.difference(region)) > 2 * self.budget:  # an edit spoils two words at most
+            # an edit spoils two words at most, and both outer words may be parts of longer ones
+            if len(kinds.difference(region)) > 2 * self.budget + 2:
                 continue
             least = min(least, myers(" ".join(passage), " ".join(region)))
             if not least:
