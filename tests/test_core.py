@@ -251,3 +251,12 @@ def test_by_age_places_every_file(spark):
     same = I.by_age(files.withColumn("mtime", F.lit(None).cast("timestamp"))).orderBy("place").collect()
     assert [r.file_id for r in same] == list(range(1000))
     assert I.by_age(files.limit(0)).count() == 0
+
+
+def test_offset_deltas_of_every_word(files):
+    want = Counter()
+    before = {}
+    for r in sorted(T.word_offsets(files).collect(), key=lambda r: (r.file_id, r.off)):
+        want[r.word, r.file_id, r.off, r.off - before[r.file_id, r.word] if (r.file_id, r.word) in before else None] += 1
+        before[r.file_id, r.word] = r.off
+    assert rows(I.offset_deltas(files)) == want and ("dog", 8, 8, 4) in want

@@ -32,6 +32,13 @@ def postings_offset(files: DataFrame, numbers: bool = False) -> DataFrame:
     return T.word_offsets(files, numbers).groupBy("word", "file_id").agg(F.array_sort(F.collect_list("off")).alias("offsets"))
 
 
+def offset_deltas(files: DataFrame, numbers: bool = False) -> DataFrame:
+    """(word, file_id, off, delta): each offset with its distance from the word's offset before in the file, null at the
+    first. One row for each occurrence; what is shuffled are the offset postings."""
+    gap = lambda off, i: F.struct(off.alias("off"), (off - F.get("offsets", i - 1)).alias("delta"))
+    return postings_offset(files, numbers).select("word", "file_id", F.inline(F.transform("offsets", gap)))
+
+
 def postings_record(files: DataFrame, delim: str = "\n", numbers: bool = False) -> DataFrame:
     """(word, file_id, rec_no): records that hold the word."""
     recs = T.records(files, delim)

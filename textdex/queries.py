@@ -238,6 +238,12 @@ def offset_deltas(spark, d):
     return rows.withColumn("delta", F.col("off") - F.lag("off").over(Window.partitionBy("file_id", "word").orderBy("off")))
 
 
+@query(f"WITH {OFFSETS} SELECT file_id, word, off, off - lag(off) OVER (PARTITION BY file_id, word ORDER BY off) AS delta FROM o")
+def offset_deltas_all(spark, d):
+    """Of all words; offset_deltas has three of them."""
+    return I.offset_deltas(docs(spark, d))
+
+
 # output, limits, counts (2.6 to 2.8, 2.10)
 
 THE = "contains(rec, 'the')"
