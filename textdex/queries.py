@@ -603,6 +603,13 @@ def ids_to_names(spark, d):
     return ids.join(files(spark, d).select("file_id", "path"), "file_id")
 
 
+@query(f"WITH {FIL} SELECT file_id, path FROM f WHERE file_id IS NOT NULL")
+def ids_to_names_all(spark, d):
+    """Of all ids; ids_to_names has every fifth."""
+    f = files(spark, d).select("file_id", "path")
+    return f.select("file_id").join(f, "file_id")
+
+
 @query(f"WITH {FIL} SELECT CAST(file_id // 32768 AS BIGINT) + CASE WHEN file_id % 32768 = 0 THEN 0 ELSE 1 END AS bucket, count(DISTINCT file_id) AS n FROM f GROUP BY 1")
 def ids_to_bitmap(spark, d):
     return I.bitmap(files(spark, d)).select("bucket", "n")
@@ -880,7 +887,7 @@ def cast_top_words(spark, d):
 
 def _coded(spark, d):
     f = docs(spark, d).filter("text is not null")
-    words = compress.dictionary(compress.weights(f), 500)
+    words = compress.dictionary(compress.weights(f))
     return f.select("file_id", "text", compress.encode(F.col("text"), words).alias("code")), words
 
 
