@@ -309,6 +309,45 @@ def test_mixed_text(reading):
     assert mojibake.restored("für WÃ¶rter und größe", reading) == "für Wörter und größe"
 
 
+# no language of these is in the tables
+OTHER_TEXTS = {
+    "emoji": "Hello 😀 there 👍🏽, a → b ✓", "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة", "hebrew": "כל בני האדם נולדו בני חורין", "vietnamese": "Tất cả mọi người, tiếng Việt",
+    "chinese": "人人生而自由,在尊严和权利上一律平等。", "japanese": "すべての人間は、生まれながらにして自由であり、日本語の本", "korean": "모든 인간은 태어날 때부터 자유로우며", "hindi": "सभी मनुष्यों को गौरव और अधिकारों",
+    "georgian": "ყველა ადამიანი იბადება თავისუფალი", "romanian": "Toate ființele umane se nasc libere și egale", "danish": "Alle mennesker er født frie og lige i værdighed, ånd", "turkish": "Bütün insanlar hür, eşit doğarlar",
+    "czech": "Všichni lidé rodí se svobodní a sobě rovní", "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระ", "icelandic": "Hver maður er borinn frjáls og jafn öðrum", "mixed": "Grüße 日本 und שלום an alle, naïve façade → ok",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja järki", "french": "«passé…» «Été» l’été, l’Œuvre", "ukrainian": "Всі люди народжуються вільними і рівними",
+}
+
+
+@pytest.mark.parametrize("name", OTHER_TEXTS)
+def test_other_languages(reading, name):
+    """Correct texts stay, also word by word; read as cp1252, latin-1 or koi8-r they come back."""
+    text = OTHER_TEXTS[name]
+    assert mojibake.restored(text, reading) is None
+    for wrong in ("cp1252", "latin-1", "koi8-r"):
+        assert mojibake.restored(damaged(text, "utf-8", wrong), reading) == text, wrong
+
+
+def test_multi_byte(reading):
+    for true, wrong, text in (("big5", "latin-1", "人人生而自由"), ("gbk", "latin-1", "人人生而自由平等"), ("cp949", "latin-1", "모든 인간은 자유로우며")):
+        assert mojibake.restored(text.encode(true).decode(wrong), reading) == text
+    for wrong, text in (("gbk", "für Wörter"), ("cp949", "für Wörter"), ("gbk", "日本語の")):
+        assert mojibake.restored(text.encode().decode(wrong), reading) == text
+
+
+def test_some_words_of_another_encoding(reading):
+    """A correct text in which some words were read wrongly: only they change."""
+    bad = "дайте люди".encode("cp1251").decode("cp1252")
+    assert mojibake.restored(f"Сёла были {bad} большие и красивые", reading) == "Сёла были дайте люди большие и красивые"
+
+
+def test_damaged_many_times(reading):
+    text = "Größe für Wörter"
+    for _ in range(6):
+        text = damaged(text, "utf-8", "cp1252")
+    assert mojibake.restored(text, reading) == "Größe für Wörter"
+
+
 def test_repair(spark, values):
     extra = [(-1, "GrÃ¼ÃŸe"), (-1, "GrÃ¼ÃŸe"), (-2, None), (-3, ""), (None, "GrÃ¼ÃŸe"), (-4, "plain"), (-5, "Ã©" * 50_000)]
     df = values.select("value_id", "value").unionByName(spark.createDataFrame(extra, "value_id long, value string")).withColumn("restored", F.lit("clash"))
