@@ -260,3 +260,15 @@ def test_offset_deltas_of_every_word(files):
         want[r.word, r.file_id, r.off, r.off - before[r.file_id, r.word] if (r.file_id, r.word) in before else None] += 1
         before[r.file_id, r.word] = r.off
     assert rows(I.offset_deltas(files)) == want and ("dog", 8, 8, 4) in want
+
+
+def test_scope_removes_intermediate_data(spark):
+    import os
+
+    from textdex.session import scope, scratch_dir, written
+
+    with scope(spark):
+        df = written(spark.range(5), "scope-test")
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert df.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path) and "scope-test" in scratch_dir(spark, "scope-test")
