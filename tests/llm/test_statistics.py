@@ -65,6 +65,45 @@ def test_counts_and_updates(spark, tokens):
     assert stored(termcounts.TermStore(spark, store.path)) == want
 
 
+def test_an_update_touches_what_changed(spark):
+    """One file of 200 changes: the update writes its rows only and reads its buckets only, so all others may be missing."""
+    import shutil
+
+    rows = spark.range(40_000).selectExpr("id div 200 AS file_id", "CAST(id % 200 div 5 AS INT) AS rec_no", "concat('w', id % 977) AS term", "1L AS occ")
+    store = termcounts.TermStore(spark, buckets=64).update(rows.groupBy("file_id", "rec_no", "term").agg(F.sum("occ").alias("occ")))
+    before = stored(store)
+    changed = spark.createDataFrame([(17, 0, "new", 3)], "file_id long, rec_no int, term string, occ long")
+    folder = store._folder("terms").removeprefix("file://")
+    own = {r.bucket for r in spark.createDataFrame([(17, 0)], "file_id long, rec_no int").select(termcounts.record_bucket(64).alias("bucket")).collect()}
+    assert len(own) == 1
+    for b in set(range(64)) - own:
+        shutil.rmtree(f"{folder}/version=1/bucket={b}", ignore_errors=True)
+    store.update(changed, spark.createDataFrame([(17, r) for r in range(1, 40)] + [(999, 0)], "file_id long, rec_no int"))
+    after = stored(store)
+    lost = Counter(f"w{i % 977}" for i in range(17 * 200, 18 * 200))
+    want = {w: (a - lost[w], b - lost[w]) for w, (a, b) in before.items() if b > lost[w]} | {"new": (3, 1)}
+    assert after == want and store.n_records() == 8000 - 39
+    assert spark.read.parquet(f"{folder}/version=2").count() == 1 + 39 + 1
+
+
+def test_merging_and_failed_updates(spark, monkeypatch):
+    """Many updates are merged on disk; an update that died before its marker leaves nothing behind."""
+    monkeypatch.setattr(termcounts, "MOST_VERSIONS", 2)
+    made = lambda rows: spark.createDataFrame(rows, "file_id long, rec_no int, term string, occ long")
+    store = termcounts.TermStore(spark, buckets=2).update(made([(1, 1, "a", 1), (2, 1, "a", 2), (2, 1, "b", 1), (None, None, "n", 1)]))
+    with monkeypatch.context() as m:
+        m.setattr(termcounts.TermStore, "_mark", lambda self: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            termcounts.TermStore(spark, store.path).update(made([(1, 1, "z", 9), (3, 1, "z", 9)]))
+    store = termcounts.TermStore(spark, store.path)
+    assert stored(store) == {"a": (3, 2), "b": (1, 1), "n": (1, 1)} and store.n_records() == 3
+    for n in range(5):
+        store.update(made([(1, 1, "a", n), (10 + n, 1, "c", 1), (None, None, "n", n)]), spark.createDataFrame([(10 + n - 1, 1)], "file_id long, rec_no int"))
+        assert stored(store) == {"a": (n + 2, 2), "b": (1, 1), "c": (1, 1), "n": (n, 1)} and store.n_records() == 4
+        assert stored(termcounts.TermStore(spark, store.path)) == stored(store)
+    assert store.generation == 2 and store.terms().count() == 5
+
+
 def test_counts_of_nothing(spark, tokens):
     store = termcounts.TermStore(spark).update(termcounts.record_terms(tokens([])))
     out = termcounts.marked_counts(store.counts(), store.n_records(), spark.createDataFrame([], "word string, freq int"))

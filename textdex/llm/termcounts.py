@@ -1,12 +1,15 @@
 """How often every term occurs and in how many records, kept up to date by signed deltas.
 
-The store is a folder of two tables: `terms`, one row for each record and term (what a record contributed last), and
-`counts`, one row for each term, partitioned by a hash bucket of the term. An update reads the old rows of the touched
-records only, turns old and new rows into signed changes (+ for added, - for removed, the difference for changed ones),
-sums them for each term and merges the sums into the buckets that have any. The corpus is never recounted.
-
-Every update writes a new version beside the old one and only then moves the pointer (a one-row table of its own
-version number), so a job that dies leaves the old version in force.
+The store is a folder of two tables that only grow by what changes: `terms`, one row for each record and term as each update
+brought them, in buckets of records; and `counts`, signed changes of each term, in buckets of terms. An update appends its
+records and reads, of the touched buckets only, what the touched records held before: old and new rows become signed
+changes (+ for added, - for removed, the difference for changed ones), which are summed for each term and appended. The
+corpus is never recounted and nothing old is rewritten; the number of records moves with the updates. Reading merges the
+changes of each term; after MOST_VERSIONS updates they are merged on disk, so that the cost of merging is spread over them.
+
+A version is in force once its marker is written, so a job that dies leaves the version before in force; what it left is
+removed by the next update. Merging writes new tables beside the old ones, which stay until the next merge: open readers
+keep what they read.
 """
 
 from __future__ import annotations
@@ -14,16 +17,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textdex.session import shared_dir, written
+from textdex.session import scratch_dir, written
 
-TERMS = "file_id long, rec_no int, term string, occ long"
-COUNTS = "term string, occurrences long, n_records long, bucket int"
+TERMS = "file_id long, rec_no int, term string, occ long, gone boolean, version int, bucket int"
+COUNTS = "term string, occurrences long, n_records long, version int, bucket int"
 RECORD = ["file_id", "rec_no"]
-#: Partitions of the count table.
-BUCKETS = 16
+#: Bytes of the first load that make one bucket, and the bounds of their number.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 8, 4096
+#: Records of a file that share a bucket: an update of a small file touches few buckets, a large file fills many.
+RUN = 256
+#: Updates after which the changes are merged on disk.
+MOST_VERSIONS = 16
+#: File numbers that are pushed to the scan of the touched buckets, at most; with more, whole buckets are read.
+MOST_IDS = 1000
 
 
 def latest(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
@@ -56,81 +65,162 @@ def signed_deltas(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.filter("d_occ <> 0 or d_records <> 0")
 
 
-def merge_counts(counts: DataFrame | None, deltas: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """`counts` after `deltas`: (term, occurrences, n_records, bucket). Terms of no record any more are dropped."""
-    add = deltas.select("term", F.col("d_occ").alias("occurrences"), F.col("d_records").alias("n_records"))
-    if counts is not None:
-        add = counts.select("term", "occurrences", "n_records").unionByName(add).groupBy("term").agg(
-            F.sum("occurrences").alias("occurrences"), F.sum("n_records").alias("n_records"))
-    return add.filter("n_records > 0").withColumn("bucket", bucket_of("term", buckets))
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """Signed changes (term, occurrences, n_records, bucket) merged into one row a term. Terms of no record any more are
+    dropped."""
+    out = counts.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_records").alias("n_records"))
+    return out.filter("n_records > 0").select("term", "occurrences", "n_records", "bucket")
 
 
 def bucket_of(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def record_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("file_id", F.floor(F.col("rec_no") / RUN)), F.lit(buckets)).cast("int")
+
+
 class TermStore:
-    """Counts that persist between updates. path is a folder all executors reach; a fresh shared one by default."""
+    """Counts that persist between updates. path is a folder all executors reach; a fresh one, kept for the session, by
+    default. buckets: their number, by the size of the first load where not given."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or shared_dir(spark, "terms")
-        self.version = self._last()
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path or scratch_dir(spark, "terms"), buckets
+        self.version, self.base, self.generation, self.records = 0, 0, 0, 0
+        for name in self._names():  # done-version-base-generation-records-buckets
+            if name.startswith("done-"):
+                state = [int(x) for x in name.split("-")[1:]]
+                if (state[2], state[0]) >= (self.generation, self.version):
+                    self.version, self.base, self.generation, self.records, self.buckets = state
+
+    def _at(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        fs = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(self._at())] if fs.exists(self._at()) else []
 
-    def _last(self) -> int:
-        fs, at = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return max([int(n[5:]) for n in names if n.startswith("done-")], default=0)
+    def _folder(self, name: str, generation: int | None = None) -> str:
+        return f"{self.path}/{name}-{self.generation if generation is None else generation}"
 
     def _table(self, name: str, schema: str) -> DataFrame | None:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}-{self.version}") if self.version else None
+        """All rows up to the version in force."""
+        if not self.version:
+            return None
+        return self.spark.read.schema(schema).parquet(self._folder(name)).filter(F.col("version") <= self.version)
+
+    def _mark(self) -> None:
+        fs = self._fs()
+        fs.create(self._at(f"done-{self.version}-{self.base}-{self.generation}-{self.records}-{self.buckets}")).close()
 
     def terms(self) -> DataFrame | None:
-        return self._table("terms", TERMS)
+        """(file_id, rec_no, term, occ): what each record holds now."""
+        rows = self._table("terms", TERMS)
+        return None if rows is None else _current(rows, self.version == self.base).select(*RECORD, "term", "occ")
 
     def counts(self) -> DataFrame | None:
-        return self._table("counts", COUNTS)
+        """(term, occurrences, n_records, bucket) of every term."""
+        rows = self._table("counts", COUNTS)
+        if rows is None:
+            return None
+        return rows.drop("version") if self.version == self.base else merge_counts(rows)
+
+    def n_records(self) -> int:
+        """Records in the store, those with only null words included."""
+        return self.records
 
     def update(self, new: DataFrame, gone: DataFrame | None = None) -> "TermStore":
         """Put the records of `new` (file_id, rec_no, term, occ: whole records) in place of what they held before.
 
         gone: (file_id, rec_no) of deleted records. Records in neither keep their counts; a record in both is replaced.
-        An empty update makes a version equal to the last.
+        Deleting a record that is not there changes nothing. An empty update makes a version equal to the last.
         """
-        version = self.version + 1
-        old_terms, old_counts = self.terms(), self.counts()
-        new = new.select(*RECORD, "term", "occ")
-        if old_terms is None:
-            new.write.mode("overwrite").parquet(f"{self.path}/terms-{version}")
-            new = self.spark.read.schema(TERMS).parquet(f"{self.path}/terms-{version}")
-            deltas = signed_deltas(None, new)
-        else:
-            new = written(new, "update")  # read several times below
-            touched = new.select(*RECORD).distinct()
-            if gone is not None:
-                touched = touched.unionByName(gone.select(*RECORD)).distinct()
-            same = [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in RECORD]
-            deltas = signed_deltas(old_terms.alias("o").join(touched.alias("t"), same, "left_semi"), new)
-            kept = old_terms.alias("o").join(touched.alias("t"), same, "left_anti")
-            kept.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/terms-{version}")
-        merged = merge_counts(old_counts, deltas, self.buckets)
-        merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts-{version}")
-        fs, at = self._fs()
-        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{version}")).close()
-        if self.version:
-            for name in ("terms", "counts"):
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}-{self.version}"), True)
-        self.version = version
+        version, fs = self.version + 1, self._fs()
+        if self.buckets is None:
+            size = int(str(new._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate, without a job
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
+        at = {name: f"{self._folder(name)}/version={version}" for name in ("terms", "counts")}
+        for path in at.values():  # of an update that died
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        # by bucket first: what made `new` record by record then needs no exchange of its own
+        rows = new.select(*RECORD, "term", "occ", F.lit(False).alias("gone"))
+        _write_terms(rows, at["terms"], self.buckets)
+        schema = ", ".join(c for c in TERMS.split(", ") if not c.startswith("version"))
+        fresh = self.spark.read.schema(schema).parquet(at["terms"])
+        if gone is not None:
+            keys = fresh.select(*RECORD).distinct().alias("k")
+            rest = gone.select(*RECORD).distinct().alias("g").join(keys, _same("g", "k"), "left_anti")
+            rest = rest.select(*RECORD, F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("occ"), F.lit(True).alias("gone"))
+            _write_terms(rest, at["terms"], self.buckets)
+            fresh = self.spark.read.schema(schema).parquet(at["terms"])
+        before = self._before(fresh)
+        now = fresh.filter("not gone")
+        _write_counts(signed_deltas(before, now), at["counts"], self.buckets)
+        size = lambda rows: rows.select(*RECORD).distinct().count()
+        self.records += size(now) - (size(before) if before is not None else 0)
+        self.version, self.base = version, self.base or version
+        self._mark()
+        if self.version - self.base >= MOST_VERSIONS:
+            self.compact()
         return self
 
-    def n_records(self) -> int:
-        """Records in the store, those with only null words included."""
-        t = self.terms()
-        return t.select(*RECORD).distinct().count() if t is not None else 0
+    def _before(self, fresh: DataFrame) -> DataFrame | None:
+        """(file_id, rec_no, term, occ) that the records of `fresh` hold in the version in force, read from their buckets;
+        written, as it is read twice."""
+        rows = self._table("terms", TERMS)
+        if rows is None:
+            return None
+        touched = fresh.select(*RECORD, "bucket").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most the store's buckets
+        ids = [r["file_id"] for r in touched.select("file_id").distinct().limit(MOST_IDS + 1).collect()]
+        rows = rows.filter(F.col("bucket").isin(buckets))
+        if len(ids) <= MOST_IDS and None not in ids:
+            rows = rows.filter(F.col("file_id").isin(ids))
+        rows = rows.alias("o").join(touched.select(*RECORD).alias("t"), _same("o", "t"), "left_semi")
+        return written(_current(rows, self.version == self.base).select(*RECORD, "term", "occ"), "before")
+
+    def compact(self) -> "TermStore":
+        """Merge the changes on disk: what each record holds now, and one row a term. Tables of two merges ago are removed."""
+        if not self.version or self.version == self.base:
+            return self
+        fs, after = self._fs(), self.generation + 1
+        at = {name: f"{self._folder(name, after)}/version={self.version}" for name in ("terms", "counts")}
+        for path in at.values():
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        _write_terms(self.terms().withColumn("gone", F.lit(False)), at["terms"], self.buckets)
+        counts = self.counts().select("term", F.col("occurrences").alias("d_occ"), F.col("n_records").alias("d_records"))
+        _write_counts(counts, at["counts"], self.buckets)
+        self.generation, self.base = after, self.version
+        self._mark()
+        for name in self._names():
+            part, _, n = name.partition("-")
+            if part in ("terms", "counts") and int(n) < after - 1 or part == "done" and int(name.split("-")[3]) < after - 1:
+                fs.delete(self._at(name), True)
+        return self
+
+
+def _same(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in RECORD]
+
+
+def _current(rows: DataFrame, single: bool) -> DataFrame:
+    """The rows of each record's last version that are not of deleted ones. single: there is one version only."""
+    if not single:
+        rows = rows.withColumn("__last", F.max("version").over(Window.partitionBy("bucket", *RECORD))).filter("version = __last")
+    return rows.filter("not gone")
+
+
+def _write_terms(rows: DataFrame, path: str, buckets: int) -> None:
+    rows = rows.withColumn("bucket", record_bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", *RECORD)
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _write_counts(deltas: DataFrame, path: str, buckets: int) -> None:
+    rows = deltas.select("term", F.col("d_occ").alias("occurrences"), F.col("d_records").alias("n_records"), bucket_of("term", buckets).alias("bucket"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def marked_counts(counts: DataFrame, n_records: int, dictionary: DataFrame, share: float = 0.1) -> DataFrame:
