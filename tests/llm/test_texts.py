@@ -159,7 +159,7 @@ def test_leaks(spark, monkeypatch):
     right = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()] + [(40, None), (41, "short"), (None, "x " * 20)], "item_id long, text string")
     assert len(want) > 150
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(left, right).filter("run >= 12").collect()} == want
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 120)  # several blocks, items cut
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 120)  # joined, items cut
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(left, right).filter("run >= 12").collect()} == want
     assert leaks.find_leaks(left.limit(0), right).count() == 0 and leaks.find_leaks(left, right.limit(0)).count() == 0
 
@@ -183,6 +183,37 @@ def test_an_edit_between_pieces_is_found(edit):
             assert pieces.hits(["other", *run[:gap], joined, *run[gap + 2 :], "more"]).get(5, (0, 9))[1] == 1, (start, gap)
 
 
+@pytest.mark.parametrize("block", [200_000, 60])
+def test_every_single_edit_is_found(spark, monkeypatch, block):
+    """Brute force over every edit of one character, blanks included, at every place of a passage; two edits are too many.
+    By the automaton and by the join."""
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+    rng = random.Random(5)
+    ws = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    texts = []
+    for start in (0, 1, 2, 3, 5, 28):
+        text = " ".join(ws[start : start + 12])
+        for i in range(len(text) + 1):
+            texts += [text[:i] + text[i + 1 :], text[:i] + "x" + text[i + 1 :], text[:i] + "x" + text[i:], text[:i] + " " + text[i:], text[:i] + " " + text[i + 1 :]]
+    texts += [" ".join(["xx" if k in (2, 9) else w for k, w in enumerate(ws[3:15])]), "qq", "", " ".join(ws)]
+    docs = [(n, f"zz {t} yy") for n, t in enumerate(dict.fromkeys(texts))]
+    want = set()
+    for n, t in docs:
+        d = min(leaks.myers(" ".join(ws[s : s + 12]), " ".join(t.split())) for s in range(len(ws) - 11))
+        if d <= 1:
+            want.add((n, 1, d))
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(want) > 800
+    assert max((r.run, r.doc_id) for r in got) == (40, len(docs) - 1)
+
+
+def test_deep_parts():
+    raw = "\n\nthe inner text"
+    for n in range(300):
+        raw = f'Content-Type: multipart/mixed; boundary="b{n}x"\n\n--b{n}x\n{raw}\n--b{n}x--\n'
+    assert [p.strip() for p in mailtext.shown_parts(raw)] == ["the inner text"]
+
+
 def test_pieces_find_all_within_the_budget():
     rng = random.Random(3)
     for trial in range(400):

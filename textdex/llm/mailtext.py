@@ -60,38 +60,53 @@ def decoded(body: str, coding: str, charset: str) -> str:
     return body
 
 
-def shown_parts(raw: str, depth: int = 0, kind: str = "text/plain") -> list[str]:
-    """Texts of the text parts of `raw`, in order; at depth 0 a text without header lines is one plain part."""
-    if depth == 0 and "\r" in raw:
+def shown_parts(raw: str) -> list[str]:
+    """Texts of the text parts of `raw`, in order; a text without header lines is one plain part."""
+    if "\r" in raw:
         raw = raw.replace("\r\n", "\n").replace("\r", "\n")
-    head, _, body = raw.partition("\n\n")
-    if raw.startswith("\n"):
-        head, body = "", raw[1:]
-    elif not _FIELD.match(raw):
-        head, body = "", raw
-    if "\n " in head or "\n\t" in head:
-        head = _FOLD.sub(" ", head)
-    rest = ""
-    if m := _TYPE.search(head):
-        kind, rest = m[1].strip().lower() or kind, m[2]
-    if kind.startswith("multipart/"):
-        m = _BOUNDARY.search(rest)
-        mark = "--" + (m[1] or m[2]) if m else ""
-        if mark and (body.startswith(mark) or "\n" + mark in body) and depth < 20:
-            inner, out = "message/rfc822" if kind == "multipart/digest" else "text/plain", []
-            pieces = re.split(r"^" + re.escape(mark) + r"(--)?[ \t]*$\n?", body, flags=re.M)
-            for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-                if closing:
-                    break
-                out += shown_parts(piece, depth + 1, inner)
-            return out
-        kind = "text/plain"
-    m = _CODING.search(head)
-    coding = m[1].lower() if m else ""
-    m = _CHARSET.search(rest)
-    if kind == "message/rfc822" and depth < 20:
-        return shown_parts(decoded(body, coding, "utf-8"), depth + 1)
-    if not kind.startswith("text/") and "/" in kind:
-        return []
-    text = decoded(body, coding, m[1] if m else "utf-8")
-    return [html_text(text) if kind == "text/html" else text]
+    out: list[str] = []
+    todo = [(raw, "text/plain")]  # what is left, the next one last
+    while todo:
+        raw, kind = todo.pop()
+        head, _, body = raw.partition("\n\n")
+        if raw.startswith("\n"):
+            head, body = "", raw[1:]
+        elif not _FIELD.match(raw):
+            head, body = "", raw
+        if "\n " in head or "\n\t" in head:
+            head = _FOLD.sub(" ", head)
+        rest = ""
+        if m := _TYPE.search(head):
+            kind, rest = m[1].strip().lower() or kind, m[2]
+        if kind.startswith("multipart/"):
+            m = _BOUNDARY.search(rest)
+            mark = "--" + (m[1] or m[2]) if m else ""
+            if mark and (body.startswith(mark) or "\n" + mark in body):
+                todo += reversed(_between(body, mark, "message/rfc822" if kind == "multipart/digest" else "text/plain"))
+                continue
+            kind = "text/plain"
+        m = _CODING.search(head)
+        coding = m[1].lower() if m else ""
+        m = _CHARSET.search(rest)
+        if kind == "message/rfc822":
+            # what stands for the message must get shorter, or the text would hold itself
+            inner = decoded(body, coding, "utf-8")
+            if len(inner) < len(raw):
+                todo.append((inner.replace("\r\n", "\n"), "text/plain"))
+                continue
+            kind = "text/plain"
+        if kind.startswith("text/") or "/" not in kind:
+            text = decoded(body, coding, m[1] if m else "utf-8")
+            out.append(html_text(text) if kind == "text/html" else text)
+    return out
+
+
+def _between(body: str, mark: str, kind: str) -> list[tuple[str, str]]:
+    """The parts of a multipart body, up to the closing boundary if there is one."""
+    pieces = re.split(r"^" + re.escape(mark) + r"(--)?[ \t]*$\n?", body, flags=re.M)
+    out = []
+    for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
+        if closing:
+            break
+        out.append((piece, kind))
+    return out
