@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textdex.llm import distinctive, encode, heavy, leaks, looks, mojibake, termcounts
+from textdex.operators.index import maybe_broadcast
 from textdex.session import load, written
 
 
@@ -18,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     first, last = tokens.agg(F.min("added_at"), F.max("added_at")).first()
     cut = F.lit(first + (last - first) * 0.95) if first else F.lit(None).cast("timestamp_ntz")
     early, late = tokens.filter(F.coalesce(F.col("added_at") <= cut, F.lit(True))), tokens.filter(F.col("added_at") > cut)
-    touched = late.select("file_id", "rec_no").distinct()
+    touched = maybe_broadcast(written(late.select("file_id", "rec_no").distinct(), "touched"))
     same = tokens["file_id"].eqNullSafe(touched["file_id"]) & tokens["rec_no"].eqNullSafe(touched["rec_no"])
     store = termcounts.TermStore(spark).update(termcounts.record_terms(early))
     store.update(termcounts.record_terms(tokens.join(touched, same, "left_semi")))

@@ -26,7 +26,7 @@ TERMS = "file_id long, rec_no int, term string, occ long, gone boolean, version
 COUNTS = "term string, occurrences long, n_records long, version int, bucket int"
 RECORD = ["file_id", "rec_no"]
 #: Bytes of the first load that make one bucket, and the bounds of their number.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 8, 4096
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 8192
 #: Records of a file that share a bucket: an update of a small file touches few buckets, a large file fills many.
 RUN = 256
 #: Updates after which the changes are merged on disk.
