@@ -16,13 +16,14 @@ from textdex.llm import encode, leaks, looks, mailtext, mojibake
 
 @pytest.mark.parametrize(("a", "b"), [
     ("ＡＢＣ ｄ１", "ABC d1"), ("ﬁne ﬂow", "fine flow"), ("été", "été"), ("a​b­﻿", "ab"), ("a b　c d", "a b c d"),
+    ("한국어", unicodedata.normalize("NFD", "한국어")), ("\u09c7\u09be", "\u09cb"), ("𝐀b𝓬", "Abc"), ("﹐ ﹪", ", %"), ("a\u180eb\u2066", "ab"),
     ("раура", "paypa"), ("Τhe", "The"), ("о́", "ó"), ("a\r\nb", "a\nb"), ("ё", "ё"), ("ｱ", "ア"),
 ])
 def test_same_look(a, b):
     assert looks.look(a) == looks.look(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("e", "é"), ("1", "l"), ("0", "O"), ("x²", "x2"), ("a b", "a  b"), ("и", "й"), ("½", "1/2"), ("m", "rn")])
+@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("e", "é"), ("1", "l"), ("0", "O"), ("x²", "x2"), ("a b", "a  b"), ("и", "й"), ("½", "1/2"), ("m", "rn"), ("؀ 12", " 12"), ("한", "하")])
 def test_other_look(a, b):
     assert looks.look(a) != looks.look(b)
 
@@ -43,6 +44,23 @@ def test_look_is_stable_and_as_written_out():
         assert looks.look(form) == form
 
 
+def test_confusables_file(tmp_path, spark):
+    path = tmp_path / "confusables.txt"
+    path.write_text("# comment\n\n1D21 ;\t007A ;\tMA\t# x\n2C9E ;\t004F ;\tMA\n0031 ;\t006C ;\tMA\n2C9F ;\t004F ;\tMA\n00C6 ;\t0041 0045 ;\tMA\n", encoding="utf-8-sig")
+    more = looks.confusables(str(path))
+    assert more == {"\u1d21": "z", "\u2c9e": "O"}
+    df = spark.createDataFrame([(1, "\u2c9een"), (2, "Oen")], "doc_id long, text string")
+    assert looks.look_pairs(df).count() == 0 and looks.look_pairs(df, more=more).count() == 1
+    assert [r.look for r in looks.looks(df, more=more).orderBy("doc_id").collect()] == ["Oen", "Oen"]
+
+
+def test_a_hot_look(spark):
+    """20,000 copies of a text and few that look the same: the pairs between different texts only, no copies among each other."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "'same text' AS text").unionByName(spark.createDataFrame([(50_000, "ѕame text"), (50_001, "ѕame text"), (50_002, "same\u200b text")], "doc_id long, text string"))
+    pairs = looks.look_pairs(rows)
+    assert pairs.count() == 3 * 20_000 + 2 and pairs.filter("id_a >= 50000").count() == 2
+
+
 def test_look_pairs(spark):
     docs = [(1, "same"), (2, "ѕame"), (3, "same"), (4, "Same"), (5, None), (6, ""), (7, " ​"), (8, " "), (9, "sa​me"), (2, "ѕame"), (None, "same"), (10, "x" * 200_000), (11, "х" + "x" * 199_999)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("look", F.lit(1)).withColumn("raw", F.lit(1)).withColumn("id", F.lit(5))
