@@ -144,6 +144,13 @@ def test_summary_bound(k):
         assert n - total / (k + 1) <= got.get(v, 0) <= n
 
 
+def test_long_values_are_counted_by_digest(spark):
+    long = ["x" * 500 + str(n) for n in range(3)]
+    df = spark.createDataFrame([(v, 10 * (n + 1)) for n, v in enumerate(long)] + [("s", 1)], "value string, count int")
+    assert {r.value: r.total for r in heavy.heavy_hitters(df, "value", "count", 0.3).collect()} == {long[1]: 20, long[2]: 30}
+    assert all(len(r.value) <= heavy.MOST_BYTES for r in heavy.summary(df, "value", "count", 10).collect())
+
+
 def test_heavy_hitters(spark):
     r = random.Random(5)
     rows = [(r.choice(["hot", "hot", f"v{r.randint(0, 5000)}", None]), r.choice([None, 1, 2, 3])) for _ in range(20000)] + [("tie", 0), ("neg", -5)]

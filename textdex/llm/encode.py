@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdex.llm import heavy
-from textdex.session import put_file, shared_dir
+from textdex.session import put_file, scratch_dir
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 #: Words compiled into the lexicon at most.
 MAX_WORDS = 32_768
+#: Letters of a word in the lexicon at most: with MAX_WORDS it bounds the lexicon's bytes.
+MOST_LETTERS = 32
 #: Words a task remembers at most; beyond that it starts afresh.
 MEMORY = 200_000
 # The tokenizer's split pattern, words first (no piece of theirs begins like another's), and the same for
@@ -248,7 +250,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for t in b.column(0).to_pylist():
             if t:
-                counts.update(split(t))
+                counts.update(p for p in split(t) if len(p) <= MOST_LETTERS)  # longer ones are merged when they are met
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["value", "count"])
 
 
@@ -281,7 +283,7 @@ def encode_corpus(docs: DataFrame, id: str = "doc_id", text: str = "text", token
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with tempfile.TemporaryDirectory() as d:
         lexicon.save(os.path.join(d, name))
-        shared = put_file(docs.sparkSession, os.path.join(d, name), shared_dir(docs.sparkSession, "lexicon"))
+        shared = put_file(docs.sparkSession, os.path.join(d, name), scratch_dir(docs.sparkSession, "lexicon"))
     sc.addFile(shared)  # every executor fetches its own copy, once, to map it
     sent = sc.broadcast(ranks)  # a vocabulary: fixed size
 

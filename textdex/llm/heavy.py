@@ -3,7 +3,8 @@
 A summary holds at most k counters. Each partition folds its rows into one summary; when a fold or a merge leaves more
 than k counters, the (k+1)-th largest count is subtracted from all and what is not above 0 is dropped. A counter is then
 below the true total by at most total / (k + 1), over any number of partitions and in any order of merging. Summaries are
-merged in levels of a fixed fan-in, so no task holds more than FAN_IN * k counters.
+merged in levels of a fixed fan-in, so no task holds more than FAN_IN * k counters. Values of more than MOST_BYTES bytes are
+counted under a digest of that size, so a counter has a bounded size too.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUMMARY = "value string, count long, part int"
 #: Summaries that one task merges.
 FAN_IN = 32
+#: Bytes of a value that is counted under its own name.
+MOST_BYTES = 64
 #: Rows folded into a summary at a time.
 CHUNK = 200_000
 
@@ -58,10 +61,15 @@ def _summarise(batches: Iterator[pa.RecordBatch], k: int, part) -> Iterator[pa.R
         yield from held.append_column("part", pa.array([part()] * held.num_rows, pa.int32())).to_batches()
 
 
+def key_of(value: Column) -> Column:
+    """What a value is counted under: itself, or where it is long a digest, marked by a character text does not have."""
+    return F.when(F.octet_length(value) <= MOST_BYTES, value).otherwise(F.concat(F.lit("\0"), F.sha2(value, 224)))
+
+
 def summary(df: DataFrame, value: str, weight: str | None, k: int) -> DataFrame:
-    """(value, count): one Misra-Gries summary of the whole column with at most k counters. Null values are left out,
+    """(value, count): one Misra-Gries summary of the whole column with at most k counters, long values as their key. Null values are left out,
     null and not positive weights add nothing; an empty column gives an empty summary."""
-    rows = df.select(F.col(value).cast("string").alias("value"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("count"))
+    rows = df.select(key_of(F.col(value).cast("string")).alias("value"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("count"))
     rows = rows.filter("value is not null and count > 0")
 
     return merged(rows.mapInArrow(summariser(k), SUMMARY), rows.rdd.getNumPartitions(), k)
@@ -103,7 +111,7 @@ def heavy_hitters(df: DataFrame, value: str, weight: str | None = None, support:
     part = Fraction(str(support))  # exact at the limit
     least = float(part * total)
     near = summary(df, value, weight, k).filter(F.col("count") >= F.lit(least - total / (k + 1) - 1)).select(F.col("value").alias("__value"), F.col("count").alias("at_least"))
-    rows = df.select(F.col(value).cast("string").alias("__v"), w.alias("__w")).filter("__v is not null")
+    rows = df.select(F.col(value).cast("string").alias("__v"), w.alias("__w")).filter("__v is not null").withColumn("__k", key_of(F.col("__v")))
     near = near.sparkSession.createDataFrame(near.collect(), "__value string, at_least long")  # at most k rows
-    out = rows.join(F.broadcast(near), F.col("__v") == F.col("__value")).groupBy("__v", "at_least").agg(F.sum(F.when(F.col("__w") > 0, F.col("__w"))).alias("total"))
+    out = rows.join(F.broadcast(near), F.col("__k") == F.col("__value")).groupBy("__v", "at_least").agg(F.sum(F.when(F.col("__w") > 0, F.col("__w"))).alias("total"))
     return out.filter(F.col("total") * part.denominator >= F.lit(total * part.numerator)).select(F.col("__v").alias("value"), "total", "at_least")
