@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from textdex.functions import compress
+from textdex.functions.approx import subsequence_within
 from textdex.functions import text as T
 from textdex.operators import attributes as A
 from textdex.operators import index as I
 from textdex.operators import search as S
 from textdex.operators import skew
 from textdex.plans import pattern as P
+from textdex.plans.compile import all_in, any_of
 from textdex.sources import files as SF
 from textdex.sources import soif
 
@@ -163,7 +165,7 @@ def test_blocks(spark):
     f = spark.createDataFrame([(i, 10 if i != 2 else None, i == 1) for i in range(5)], "file_id long, size long, deleted boolean")
     assert [r.block_id for r in I.blocks_fixed(f, 15).orderBy("file_id").collect()] == [0, 0, 1, 1, 2]
     assert [tuple(r) for r in I.renumbered(f).orderBy("file_id").collect()] == [(0, 0), (2, 1), (3, 2), (4, 3)]
-    assert I.block_limit(1000, 10) == 4 and I.block_limit(1000, 4, [250, 250, 250, 250]) <= 250
+    assert [r.block_id for r in I.blocks(f, 4, 4).orderBy("file_id").collect()] == [0, 1, 2, 2, 3]
 
 
 # balance
@@ -272,3 +274,98 @@ def test_scope_removes_intermediate_data(spark):
         path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert df.count() == 5 and os.path.isdir(path)
     assert not os.path.exists(path) and "scope-test" in scratch_dir(spark, "scope-test")
+
+
+# a saved index
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    """300 files of made words, saved with all parts."""
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma_ray", "delta", "would", "there", "Über", "x_ray", "o", "zzz", "wood"]
+    rows = [(i, f"dir/{i}.txt", "\n".join(" ".join(rng.choice(words) + rng.choice(["", "s", "1", "-"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 5))) if i % 50 else None) for i in range(300)]
+    rows.append((300, "long.txt", "q" * 80 + "would" + "q" * 80))
+    f = spark.createDataFrame(rows, "file_id long, path string, text string")
+    return f, I.Index.build(f, offsets=True, records=True, stop_percent=90).save(f"file://{tmp_path_factory.mktemp('index')}/i", 3)
+
+
+CASES = [
+    ("would;there", {}), ("would,zzz", {}), ("would;~there", {}), ("~would", {}), ("ray", {"word": True}), ("gamma_ray", {}), ("OULD", {"icase": True}), ("wuold there", {"errors": 2}), ("wo(u|o)*ld", {"errors": 1}),
+    ("al.*beta", {}), ("{alpha,beta};{delta,zzz};there", {}), ("über", {"icase": True}), ("qwouldq", {}), ("o", {}), ("^would", {}), ("zz|be", {}), ("missing", {}), ("missing,zzz", {"word": True}), ("dlta", {"errors": 1, "word": True}),
+]
+
+
+@pytest.mark.parametrize(("pattern", "options"), CASES)
+def test_an_index_never_changes_an_answer(library, pattern, options):
+    f, idx = library
+    assert rows(S.search(f, pattern, idx, **options)) == rows(S.search(f, pattern, **options))
+    assert rows(S.search_whole(idx.texts, pattern, index=idx, **options)) == rows(S.search_whole(f, pattern, **options))
+
+
+def test_lookups_of_many_words_narrow_or_stand_aside(library, monkeypatch):
+    f, idx = library
+    monkeypatch.setattr(I, "MOST_PUSHED", 3)
+    for pattern, options in CASES:
+        assert rows(S.search(f, pattern, idx, **options)) == rows(S.search(f, pattern, **options)), pattern
+
+
+def test_lookups_are_pushed_to_the_scan(library):
+    _, idx = library
+    found = idx.words([("would", True), ("ray", False)])
+    assert set(found["ray", False]) >= {"gamma_ray", "x_ray"} and "would" in found["would", True]
+    plan = idx.posted({"would", "there"})._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(word,would)" in plan.replace(" ", "")
+    plan = S.search(idx.texts, "zzz;delta", idx)._jdf.queryExecution().executedPlan().toString().replace(" ", "")
+    assert "file_id" in plan.split("PushedFilters")[1][:4000]
+
+
+def test_index_parts_and_reload(library, spark):
+    f, idx = library
+    again = idx.reload()
+    assert again.meta["n_files"] == 301 and rows(again.offsets.selectExpr("word", "file_id", "size(offsets)")) == rows(I.postings_offset(f).selectExpr("word", "file_id", "size(offsets)"))
+    assert rows(again.records) == rows(I.postings_record(f)) and rows(again.long_files) == Counter({(300,): 1})
+    assert rows(again.stop) == rows(I.stop_words_share(I.vocabulary(I.postings_file(f)), 301, 90).select("word"))
+    left = idx.without(f.filter("file_id >= 5").select("file_id"))
+    assert rows(left.vocab) == rows(I.vocabulary(I.postings_file(f.filter("file_id < 5"))))
+    assert set(idx.size()) >= {"postings", "vocab", "texts", "meta"}
+
+
+def test_sets_of_any_number(spark):
+    sets = [spark.createDataFrame([(1,), (2,), (2,), (10 + n,)], "file_id long") for n in range(70)]
+    assert rows(I.all_of(sets)) == Counter({(1,): 1, (2,): 1}) and I.any_of(sets).count() == 72
+
+
+def test_forty_thousand_patterns(spark):
+    many = [f"k{n:05d}" for n in range(40_000)]
+    df = spark.createDataFrame([(1, 1, "has k00017 and k39999"), (1, 2, "none"), (2, 1, None)], "file_id long, rec_no int, rec string")
+    assert [r.rec_no for r in df.filter(any_of(many, F.col("rec"))).collect()] == [1]
+    assert rows(S.which_patterns(df, many).select("rec_no", "pattern")) == Counter({(1, "k00017"): 1, (1, "k39999"): 1})
+    some = ["a", "A", "k0", "", "one"] + many
+    assert [r.p for r in df.select(all_in(some, F.col("rec"), True).alias("p")).collect()] == [["a", "A", "k0", "", "k00017", "k39999"], ["", "one"], None]
+
+
+def test_bitmaps_and_back(spark):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 9, 32768, 32769, 100_000)], "file_id long")
+    assert rows(I.bitmap_ids(I.bitmap(ids))) == rows(ids) and I.bitmap_ids(I.bitmap(ids.limit(0))).count() == 0
+
+
+def test_long_supersequence(spark):
+    text = "".join(chr(97 + i % 26) for i in range(80))
+    df = spark.createDataFrame([(text.replace("c", "c-"),), (text[:77],), (text[:70],), (None,)], "rec string")
+    assert [r.m for r in df.select(subsequence_within(F.col("rec"), text, 3).alias("m")).collect()] == [True, True, False, None]
+
+
+def test_live_index_is_merged(spark, tmp_path):
+    from textdex.streaming.ingest import LiveIndex
+
+    schema = "file_id long, path string, size long, mtime timestamp, info string, deleted boolean, text string"
+    live = LiveIndex(spark, f"file://{tmp_path}/live")
+    live.MOST_BATCHES = 2
+    for n in range(7):
+        live.apply(spark.createDataFrame([(n % 3, "p", 1, None, None, n == 5, f"w{chr(97 + n)} all")], schema), n)
+        last = {k: max(i for i in range(n + 1) if i % 3 == k) for k in range(min(3, n + 1))}
+        want = Counter((w, k) for k, i in last.items() if i != 5 for w in (f"w{chr(97 + i)}", "all"))
+        assert rows(live.postings().select("word", "file_id")) == want
+    live.apply(spark.createDataFrame([(0, "p", 1, None, None, False, "again")], schema), 6)
+    assert rows(live.postings().filter("file_id = 0").select("word")) == Counter({("again",): 1})

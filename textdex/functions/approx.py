@@ -22,14 +22,14 @@ BITS = 62
 
 def prefilter(rec: Column, parts: list[tuple], o: P.Options) -> Column:
     """A condition every match fulfils; true where nothing can be said."""
-    if not P.is_literal(parts):
+    found = P.required_pieces(parts, o.errors // min(o.insert, o.delete, o.substitute))
+    if not found or "" in found:
         return F.lit(True)
-    text, least = P.literal(parts), min(o.insert, o.delete, o.substitute)
     if o.icase:
-        text, rec = text.lower(), F.lower(rec)
+        found, rec = [p.lower() for p in found], F.lower(rec)
     out = F.lit(False)
-    for piece in P.pieces(text, o.errors // least):
-        out = out | (rec.contains(piece) if piece else F.lit(True))
+    for piece in found:
+        out = out | rec.contains(piece)
     return out
 
 
@@ -103,6 +103,15 @@ class Lazy:
     def __init__(self, start, step, value):
         self.start, self.step, self.value, self.known = start, step, value, {}
 
+    def next(self, state, c: str):
+        pair = self.known.get((state, c))
+        if pair is None:
+            if len(self.known) > self.MOST:
+                self.known.clear()
+            new = self.step(state, c)
+            pair = self.known[state, c] = (new, self.value(new))
+        return pair[0]
+
     def run(self, text: str, each: bool = True) -> int:
         """Least value over all states passed (each), or the value of the last one."""
         known, state = self.known, self.start
@@ -128,6 +137,12 @@ class Lazy:
 def weighted(positions: list[tuple], most: int, insert: int, delete: int, substitute: int, begin: bool = False, end: bool = False):
     """str -> least cost of edits that make a part of it match, most + 1 if above `most`. In a zone no edit is allowed; a
     gap takes any characters at no cost. begin, end: the match starts or ends with the text."""
+    lazy = weighted_lazy(positions, most, insert, delete, substitute, begin)
+    return lambda text: lazy.run(text, not end)
+
+
+def weighted_lazy(positions: list[tuple], most: int, insert: int, delete: int, substitute: int, begin: bool = False) -> Lazy:
+    """The automaton of `weighted`: a state's value is the least cost of a match that ends there."""
     far, m = most + 1, len(positions)
     zones = [z for _, z in positions]
 
@@ -151,8 +166,7 @@ def weighted(positions: list[tuple], most: int, insert: int, delete: int, substi
             col[j + 1] = min(cost, far)
         return tuple(col)
 
-    lazy = Lazy(first(), step, lambda col: col[m])
-    return lambda text: lazy.run(text, not end)
+    return Lazy(first(), step, lambda col: col[m])
 
 
 class Automaton:
@@ -223,6 +237,10 @@ class Automaton:
 
     def matcher(self, most: int):
         """str -> least number of edits that make a part of it match; most + 1 if above."""
+        return self.lazy(most).run
+
+    def lazy(self, most: int) -> Lazy:
+        """The automaton made deterministic: a state's value is the least number of edits of a match that ends there."""
 
         def spread(layers: list[set[int]]) -> tuple:
             for k in range(len(layers)):
@@ -246,7 +264,7 @@ class Automaton:
             return spread(new)
 
         start = spread([{self.start}] + [set() for _ in range(most)])
-        return Lazy(start, step, lambda layers: next((k for k, x in enumerate(layers) if self.end in x), most + 1)).run
+        return Lazy(start, step, lambda layers: next((k for k, x in enumerate(layers) if self.end in x), most + 1))
 
 
 def distance_function(text: str, o: P.Options):
@@ -259,6 +277,44 @@ def distance_function(text: str, o: P.Options):
     return (lambda s: of(s.lower())) if o.icase else of
 
 
+def end_function(text: str, o: P.Options):
+    """str -> number of characters up to the first end of a match within the errors allowed, None if there is none."""
+    begin, parts, end = P.lex(text, o.constant)
+    if P.is_regex(parts):
+        lazy = Automaton(parts, o.icase).lazy(o.errors)
+    else:
+        lazy = weighted_lazy(_positions(parts, o.icase), o.errors, o.insert, o.delete, o.substitute, begin)
+
+    def first(s: str) -> int | None:
+        state = lazy.start
+        for n, c in enumerate([None, *(s.lower() if o.icase else s)]):
+            if c is not None:
+                state = lazy.next(state, c)
+            if lazy.value(state) <= o.errors and (not end or n == len(s)):
+                return n
+        return None
+
+    return first
+
+
+def match_end(rec: Column, text: str, o: P.Options) -> Column:
+    """Number of characters up to the first end of a match of the term within the errors allowed; null without one. With the
+    options word and whole the word or record ends there."""
+
+    @F.pandas_udf("int")
+    def at(s: pd.Series) -> pd.Series:
+        import re
+
+        if o.word:
+            of, words = functools.cache(distance_function(f"^{text}$", o)), re.compile(r"[^\W_]+")
+            end = lambda v: next((m.end() for m in words.finditer(v) if of(m.group()) <= o.errors), None)
+        else:
+            end = end_function(f"^{text}$" if o.whole else text, o)
+        return s.map(lambda v: None if v is None else end(v)).astype("Int32")
+
+    return at(rec)
+
+
 def distance(rec: Column, text: str, o: P.Options) -> Column:
     """Least cost of a match of the term in `rec`, errors + 1 if above the errors allowed; null for null."""
 
@@ -270,6 +326,21 @@ def distance(rec: Column, text: str, o: P.Options) -> Column:
     return cost(rec)
 
 
+def term_distance(rec: Column, text: str, o: P.Options) -> Column:
+    """Least cost of a match of the term under the options, errors + 1 if above the errors allowed; null for null."""
+    if not o.word:
+        return distance(rec, f"^{text}$" if o.whole else text, o)
+
+    @F.pandas_udf("int")
+    def cost(s: pd.Series) -> pd.Series:
+        import re
+
+        of, words = functools.cache(distance_function(f"^{text}$", o)), re.compile(r"[^\W_]+")
+        return s.map(lambda v: None if v is None else min(map(of, words.findall(v)), default=o.errors + 1)).astype("Int32")
+
+    return cost(rec)
+
+
 def matches(rec: Column, text: str, o: P.Options) -> Column:
     """Whether `rec` matches the term within the errors allowed."""
     begin, parts, end = P.lex(text, o.constant)
@@ -302,9 +373,9 @@ def word_within(rec: Column, text: str, o: P.Options) -> Column:
 def subsequence_within(rec: Column, text: str, errors: int, icase: bool = False) -> Column:
     """Whether all but `errors` characters of `text` occur in `rec` in order, others between them: the longest common
     subsequence, bit-parallel in one column of built-in functions."""
-    if len(text) > BITS:
-        raise P.PatternError("the pattern does not fit the bit-parallel program")
     text, rec = (text.lower(), F.lower(rec)) if icase else (text, rec)
+    if len(text) > BITS:
+        return common_subsequence(rec, text) >= len(text) - errors
     full = F.lit((1 << len(text)) - 1).cast("long")
     masks = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in dict.fromkeys(text)}
 
@@ -317,3 +388,25 @@ def subsequence_within(rec: Column, text: str, errors: int, icase: bool = False)
 
     left = F.aggregate(F.split(rec, ""), full, step)
     return F.bit_count(left) <= errors
+
+
+def common_subsequence(rec: Column, text: str) -> Column:
+    """Length of the longest common subsequence with `text`, of any length; the same program on integers without bound."""
+
+    @F.pandas_udf("int")
+    def longest(s: pd.Series) -> pd.Series:
+        full = (1 << len(text)) - 1
+        masks: dict[str, int] = {}
+        for i, x in enumerate(text):
+            masks[x] = masks.get(x, 0) | 1 << i
+
+        def of(v: str) -> int:
+            left = full
+            for c in v:
+                m = left & masks.get(c, 0)
+                left = (left + m | left & ~masks.get(c, 0)) & full
+            return len(text) - left.bit_count()
+
+        return s.map(lambda v: None if v is None else of(v)).astype("Int32")
+
+    return longest(rec)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textdex.plans import pattern as P
+from textdex.sources import files as SF
+
 #: Least length times frequency of a dictionary word, and most words.
 LEAST_WEIGHT, MOST_WORDS = 16, 4096
 _PIECES = r"([A-Za-z]+|[^A-Za-z]+)"
@@ -61,6 +66,74 @@ def decode(code: Column, words: dict[str, int]) -> Column:
     return F.array_join(F.transform(code, lambda c: F.coalesce(c["raw"], F.try_element_at(back, c["id"] + 1))), "")
 
 
+#: What a record of encoded text begins with.
+SIGNATURE = "\u0001cast"
+
+
+def compressible(text: Column, words: dict[str, int], gain: float = 0.1) -> Column:
+    """Whether a text is worth encoding: not encoded already, no binary, uuencoded or PostScript text, and shorter by at
+    least `gain` if dictionary words take two characters. Null for null."""
+    saved = F.aggregate(pieces(text), F.lit(0), lambda acc, w: acc + F.when(_numbers(words)(w).isNotNull(), F.greatest(F.length(w) - 2, F.lit(0))).otherwise(0))
+    usual = ~(SF.is_binary(text) | SF.is_uuencoded(text) | SF.is_postscript(text) | text.startswith(SIGNATURE))
+    return usual & (saved >= gain * F.length(text))
+
+
+def build_dictionary(texts: DataFrame, path: str, most: int = MOST_WORDS, least: int = LEAST_WEIGHT) -> dict[str, int]:
+    """Job: the dictionary of (text), saved as a table (word, id) at `path`."""
+    words = dictionary(weights(texts, least), most)
+    texts.sparkSession.createDataFrame(list(words.items()), "word string, id int").coalesce(1).write.mode("overwrite").parquet(path)
+    return words
+
+
+def open_dictionary(spark: SparkSession, path: str) -> dict[str, int]:
+    """A saved dictionary, in order of its numbers; it has at most as many words as it was made with."""
+    return {r["word"]: r["id"] for r in spark.read.parquet(path).orderBy("id").collect()}
+
+
+def encode_files(files: DataFrame, words: dict[str, int], gain: float = 0.1) -> DataFrame:
+    """Job: `files` (text, ...) with code: the encoded text where it is worth it and null elsewhere; text then is null."""
+    fit = F.coalesce(compressible(F.col("text"), words, gain), F.lit(False))
+    return files.withColumn("code", F.when(fit, encode(F.col("text"), words))).withColumn("text", F.when(~fit, F.col("text")))
+
+
+def decode_files(files: DataFrame, words: dict[str, int]) -> DataFrame:
+    """Job: the files that `encode_files` was given."""
+    return files.withColumn("text", F.coalesce("text", decode(F.col("code"), words))).drop("code")
+
+
+def matches(code: Column, pattern: str, words: dict[str, int], icase: bool = False) -> Column:
+    """Whether the encoded text satisfies a pattern of whole words, joined by ; , ~ and {}, found without decoding. A term is
+    a word of letters; other terms raise PatternError."""
+
+    def of(q: P.Query) -> Column:
+        if isinstance(q, P.Not):
+            return ~of(q.of)
+        if isinstance(q, (P.And, P.Or)):
+            return of(q.left) & of(q.right) if isinstance(q, P.And) else of(q.left) | of(q.right)
+        if not re.fullmatch("[A-Za-z]+", q.text) or q.attribute:
+            raise P.PatternError(f"{q.text!r} is no word of letters")
+        return contains_any(code, [q.text], words, icase)
+
+    return of(P.parse(pattern))
+
+
+def contains_any(code: Column, wanted: list[str], words: dict[str, int], icase: bool = False) -> Column:
+    """Whether the encoded text has one of the words of letters as a whole word. Every spelling in the dictionary is looked
+    for by its number, others as raw text."""
+    low = {w.lower() for w in wanted}
+    ids = [n for w, n in words.items() if (w.lower() in low if icase else w in wanted)]
+    raw = sorted(low if icase else set(wanted) - set(words))
+    spelt = lambda c: F.lower(c["raw"]) if icase else c["raw"]
+    tests = []
+    if ids:
+        tests.append(lambda c: F.coalesce(c["id"].isin(ids), F.lit(False)))
+    if raw:
+        tests.append(lambda c: F.coalesce(spelt(c).isin(raw), F.lit(False)))
+    if not tests:
+        return F.lit(False)
+    return F.exists(code, lambda c: functools.reduce(lambda a, b: a | b, [t(c) for t in tests]))
+
+
 def contains_word(code: Column, word: str, words: dict[str, int]) -> Column:
     """Whether the encoded text has `word` as a whole word, found without decoding."""
     if word in words:

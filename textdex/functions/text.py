@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textdex.plans.pattern import quote
@@ -25,12 +30,28 @@ def records(files: DataFrame, delim: str = "\n", offsets: bool = False) -> DataF
 
     Null texts give no record; blank records are kept. Other columns are left out.
     """
-    out = files.select("file_id", F.posexplode(record_array(F.col("text"), delim)).alias("pos", "rec")).select("file_id", (F.col("pos") + 1).alias("rec_no"), "rec")
     if offsets:
-        before = Window.partitionBy("file_id").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
-        begin = F.coalesce(F.sum(F.length("rec") + len(delim)).over(before), F.lit(0)).cast("long")
-        out = out.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("rec"))
-    return out
+        return _spanned_records(files, delim)
+    return files.select("file_id", F.posexplode(record_array(F.col("text"), delim)).alias("pos", "rec")).select("file_id", (F.col("pos") + 1).alias("rec_no"), "rec")
+
+
+def _spanned_records(files: DataFrame, delim: str) -> DataFrame:
+    """`records` with their spans, made text by text, so that no text is shuffled."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one in range(b.num_rows):
+                text = b.column(1)[one].as_py()
+                recs = text.split(delim) if text else []
+                if recs and text.endswith(delim):
+                    recs.pop()
+                sizes = np.fromiter(map(len, recs), np.int64, len(recs))
+                begin = np.cumsum(sizes + len(delim)) - sizes - len(delim)
+                ids = pa.array([b.column(0)[one].as_py()] * len(recs), b.column(0).type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(1, len(recs) + 1, dtype=np.int32)), pa.array(recs, pa.string()), pa.array(begin), pa.array(begin + sizes)], ["file_id", "rec_no", "rec", "begin", "end"])
+
+    kind = dict(files.dtypes)["file_id"]
+    return files.select("file_id", "text").filter("text is not null").mapInArrow(cut, f"file_id {kind}, rec_no int, rec string, begin long, end long")
 
 
 def records_kept_delimiter(files: DataFrame, delim: str, tail: bool) -> DataFrame:
@@ -56,30 +77,35 @@ def tokens(files: DataFrame, numbers: bool = False) -> DataFrame:
 def word_offsets(files: DataFrame, numbers: bool = False) -> DataFrame:
     """(file_id, off, word): occurrences with their begin in the file.
 
-    The text is split into words and what lies between; begins are running sums of lengths within the row, made once for
-    each file by a vectorised scan, so no shuffle and no search for every word.
+    The text is split into words and what lies between; begins are running sums of lengths, made once for each file, so no
+    shuffle and no search for every word.
     """
-    import re
-
-    import pandas as pd
-    import pyarrow as pa
+    letters = r"\p{L}\p{Nd}_" if numbers else r"\p{L}_"
+    ascii_letters = "A-Za-z0-9_" if numbers else "A-Za-z_"
 
-    inside = re.compile(r"[^\W\d]+" if not numbers else r"[^\W]+")
-    accept = (lambda c: c.isalpha() or c == "_") if not numbers else (lambda c: c.isalpha() or c.isdecimal() or c == "_")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    def scan(batches):
+        plain, any_ = re.compile(f"[{ascii_letters}]+|[^{ascii_letters}]+"), regex.compile(f"[{letters}]+|[^{letters}]+")
+        first, first_any = re.compile(f"[{ascii_letters}]").match, regex.compile(f"[{letters}]").match
         for b in batches:
-            ids, offs, words = [], [], []
+            ids, many, offs, words = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for m in inside.finditer(t):
-                    w, at = m.group(), m.start()
-                    if not all(map(accept, w)):  # letter-like numbers and marks part words
-                        for k in re.finditer(r"[^\x00]+", "".join(c if accept(c) else "\0" for c in w)):
-                            if len(k.group()) <= MAX_WORD:
-                                ids.append(i), offs.append(at + k.start()), words.append(k.group())
-                    elif len(w) <= MAX_WORD:
-                        ids.append(i), offs.append(at), words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(offs, pa.int64()), pa.array(words, pa.string())], ["file_id", "off", "word"])
+                if not t:
+                    continue
+                ascii_ = t.isascii()
+                parts = (plain if ascii_ else any_).findall(t)
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                begin = np.cumsum(sizes) - sizes
+                start = 0 if (first if ascii_ else first_any)(t) else 1
+                parts, sizes, begin = parts[start::2], sizes[start::2], begin[start::2]
+                if len(sizes) and sizes.max() > MAX_WORD:
+                    fit = sizes <= MAX_WORD
+                    parts, begin = [w for w, ok in zip(parts, fit.tolist(), strict=True) if ok], begin[fit]
+                ids.append(i), many.append(len(parts)), offs.append(begin)
+                words += parts
+            at = pa.array(np.repeat(np.arange(len(ids)), many))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type).take(at), pa.array(np.concatenate(offs) if offs else [], pa.int64()), pa.array(words, pa.string())], ["file_id", "off", "word"])
 
     kind = dict(files.dtypes)["file_id"]
     out = files.select("file_id", "text").filter("text is not null").mapInArrow(scan, f"file_id {kind}, off long, word string")

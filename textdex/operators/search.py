@@ -6,32 +6,136 @@ the pattern bounds them, and stands aside where it can say nothing (errors, alte
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textdex.functions import approx
 from textdex.functions import text as T
+from textdex.operators import attributes as A
 from textdex.operators import index as I
 from textdex.plans import pattern as P
-from textdex.plans.compile import compile, query_column, query_prefilter, term_column
+from textdex.plans.compile import all_in, balanced, compile, query_column, query_prefilter, term_column
+from textdex.session import rows_below, written
+
+
+@dataclass
+class Candidates:
+    """Files that may hold a match: a list of at most index.MOST_PUSHED ids, which a scan can be pruned by, or rows."""
+
+    ids: list[int] | None
+    rows: DataFrame | None
+
+    def of(self, files: DataFrame) -> DataFrame:
+        """The candidates among `files`."""
+        if self.ids is not None:
+            return files.filter(I.one_of(F.col("file_id"), self.ids))
+        return files.join(self.rows, "file_id", "left_semi")
+
+    def as_rows(self, files: DataFrame) -> DataFrame:
+        """(file_id) of the candidates."""
+        return self.of(files.select("file_id")).distinct()
+
+
+def candidate_files(q: P.Query, o: P.Options, idx: I.Index, stop: DataFrame | None = None) -> Candidates | None:
+    """The files that may hold a match by the index, None where it can say nothing. Terms of an AND may be in different
+    records. The vocabulary is looked up once for all words, then the postings of the words found; lists of an AND that are
+    much longer than its shortest one are left out. Stop words (word) prune nothing."""
+    tree = P.needed(q, o, T.MAX_WORD)
+    if tree is not None and stop is not None:
+        words = {w for w, _ in _leaves(tree)}
+        stopped = {r["word"] for r in stop.filter(F.col("word").isin(sorted(words))).collect()}  # at most one row a term word
+        tree = P.needed(q, o, T.MAX_WORD, frozenset(stopped))
+    if tree is None:
+        return None
+    found = idx.words(list(_leaves(tree)))
+    if found is None:  # parts of very many words: those that are not can still prune
+        found, tree = _narrow(tree, idx)
+        if tree is None:
+            return None
+    size = lambda leaf: sum(found[leaf[1:]].values())
+    tree, most = _shortest(tree, size)
+    leaves = list(_leaves(tree))
+    words = {w for leaf in leaves for w in found[leaf]}
+    hits = idx.posted(words)
+    if any(t[0] == "all" for t in _nodes(tree)):
+        flags = [F.bool_or(I.one_of(F.col("word"), sorted(found[leaf]))).alias(f"__w{n}") for n, leaf in enumerate(leaves)]
+        hits = hits.groupBy("file_id").agg(*flags).filter(_holds(tree, leaves))
+    rows = hits.select("file_id").unionByName(idx.long_files.select("file_id")).distinct()
+    if most <= I.MOST_PUSHED:
+        ids = [r["file_id"] for r in rows.limit(I.MOST_PUSHED + 1).collect()]
+        if len(ids) <= I.MOST_PUSHED:
+            return Candidates(sorted(ids), None)
+    return Candidates(None, rows)
+
+
+def _nodes(tree: tuple):
+    yield tree
+    if tree[0] != "word":
+        for t in tree[1]:
+            yield from _nodes(t)
+
+
+def _leaves(tree: tuple) -> dict[tuple[str, bool], None]:
+    return dict.fromkeys(t[1:] for t in _nodes(tree) if t[0] == "word")
+
+
+def _holds(tree: tuple, leaves: list) -> Column:
+    if tree[0] == "word":
+        return F.col(f"__w{leaves.index(tree[1:])}")
+    parts = [_holds(t, leaves) for t in tree[1]]
+    return functools.reduce((lambda a, b: a & b) if tree[0] == "all" else (lambda a, b: a | b), parts)
+
+
+def _shortest(tree: tuple, size) -> tuple[tuple, int]:
+    """The tree without lists of an AND that are much longer than its shortest, and the most files it can give."""
+    if tree[0] == "word":
+        return tree, size(tree)
+    parts = [_shortest(t, size) for t in tree[1]]
+    if tree[0] == "any":
+        return ("any", [t for t, _ in parts]), sum(n for _, n in parts)
+    least = min(n for _, n in parts)
+    kept = sorted([(n, k) for k, (_, n) in enumerate(parts) if n <= I.LONGER * max(1, least)])
+    return ("all", [parts[k][0] for _, k in kept]), least
+
+
+def _narrow(tree: tuple, idx: I.Index) -> tuple[dict, tuple | None]:
+    """The words of those leaves that are parts of few words, and the tree of them; None if nothing is left."""
+    leaves = list(_leaves(tree))
+    word = F.col("word")
+    counts = idx.vocab.agg(*[F.sum(I.holds(word, *leaf).cast("long")).alias(f"n{n}") for n, leaf in enumerate(leaves)]).first()
+    few = [leaf for n, leaf in enumerate(leaves) if (counts[n] or 0) <= I.MOST_PUSHED // len(leaves)]
+
+    def cut(t: tuple) -> tuple | None:
+        if t[0] == "word":
+            return t if t[1:] in few else None
+        parts = [cut(x) for x in t[1]]
+        if t[0] == "any":
+            return None if None in parts else ("any", parts)
+        parts = [x for x in parts if x is not None]
+        return ("all", parts) if parts else None
+
+    left = cut(tree)
+    return (idx.words(list(_leaves(left))) if left else {}), left
+
+
+def _parsed(pattern: str, options: dict) -> tuple[P.Query, P.Options]:
+    o = P.Options(**options)
+    q = P.parse(pattern, o.constant)
+    P.validate(q, o)
+    return q, o
 
 
-def candidate_files(q: P.Query, o: P.Options, idx: I.Index, files: DataFrame, stop: DataFrame | None = None, scope_file: bool = False) -> DataFrame | None:
-    """(file_id) of the files that may hold a match, None where the index can say nothing. scope_file: terms of an AND
-    may be in different records. Stop words (word) prune nothing."""
-    if isinstance(q, P.Not):
-        return None
-    if isinstance(q, (P.And, P.Or)):
-        a, b = (candidate_files(x, o, idx, files, stop, scope_file) for x in (q.left, q.right))
-        if isinstance(q, P.Or):
-            return None if a is None or b is None else I.any_of([a, b])
-        return b if a is None else a if b is None else I.all_of([a, b])
-    words = P.needed_words(q.text, o)
-    words = [(w, whole) for w, whole in words if len(w) <= T.MAX_WORD]
-    if stop is not None and words:
-        stopped = {r["word"] for r in stop.filter(F.col("word").isin([w for w, _ in words])).collect()}  # at most one row a term word
-        words = [(w, whole) for w, whole in words if w not in stopped]
-    sets = [idx.candidates(w, whole) for w, whole in words]
-    return I.all_of(sets) if sets else None
+def narrowed(files: DataFrame, q: P.Query, o: P.Options, index: I.Index | None, stop: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """`files` that may hold a match by the index, and are among the hints (file_id)."""
+    found = candidate_files(q, o, index, stop) if index else None
+    if found is not None:
+        files = found.of(files)
+    if hints is not None:
+        files = files.join(I.maybe_broadcast(hints.select("file_id").distinct()), "file_id", "left_semi")
+    return files
 
 
 def search(files: DataFrame, pattern: str, index: I.Index | None = None, delim: str = "\n", offsets: bool = False, stop: DataFrame | None = None, hints: DataFrame | None = None, **options) -> DataFrame:
@@ -39,13 +143,8 @@ def search(files: DataFrame, pattern: str, index: I.Index | None = None, delim:
 
     index prunes files first; hints is a set of candidate files (file_id) found elsewhere. Null texts match nothing.
     """
-    o = P.Options(**options)
-    q = P.parse(pattern, o.constant)
-    P.validate(q, o)
-    files = files.select("file_id", "text")
-    for side in (candidate_files(q, o, index, files, stop) if index else None, hints):
-        if side is not None:
-            files = files.join(I.maybe_broadcast(side.select("file_id").distinct()), "file_id", "left_semi")
+    q, o = _parsed(pattern, options)
+    files = narrowed(files.select("file_id", "text"), q, o, index, stop, hints)
     recs = T.records(files, delim, offsets)
     return searched(recs, q, o)
 
@@ -57,49 +156,66 @@ def searched(recs: DataFrame, q: P.Query, o: P.Options) -> DataFrame:
     return recs.filter(query_column(q, F.col("rec"), o))
 
 
-def search_whole(files: DataFrame, pattern: str, delim: str = "\n", **options) -> DataFrame:
-    """(file_id, rec_no, rec): the pattern judged over whole files; of the files that satisfy it, every record with one of
-    its terms. A file without any such record gives nothing."""
-    o = P.Options(**options)
-    q = P.parse(pattern, o.constant)
-    P.validate(q, o)
+def search_whole(files: DataFrame, pattern: str, delim: str = "\n", index: I.Index | None = None, stop: DataFrame | None = None, offsets: bool = False, **options) -> DataFrame:
+    """(file_id, rec_no, rec), with offsets also (begin, end): the pattern judged over whole files; of the files that satisfy
+    it, every record with one of its terms. A file without any such record gives nothing. index prunes files first.
+
+    Without errors a file is judged in place, over the array of its records, so nothing is shuffled or read twice."""
+    q, o = _parsed(pattern, options)
     ts = P.terms(q)
-    recs = T.records(files, delim)
+    files = narrowed(files.select("file_id", "text"), q, o, index, stop)
+    if not o.errors:
+        lines = T.record_array(F.col("text"), delim)
+        test = lambda t: lambda r: F.coalesce(term_column(t.text, r, o), F.lit(False))
+        hit = [F.coalesce(F.exists(lines, test(t)), F.lit(False)) for t in ts]
+        recs = T.records(files.filter(_judged(q, ts, hit)), delim, offsets)
+        return recs.filter(balanced([F.coalesce(term_column(t.text, F.col("rec"), o), F.lit(False)) for t in ts]))
+    recs = T.records(files, delim, offsets)
     for n, t in enumerate(ts):
         recs = recs.withColumn(f"__t{n}", F.coalesce(term_column(t.text, F.col("rec"), o), F.lit(False)))
-    flags = recs.groupBy("file_id").agg(*[F.bool_or(f"__t{n}").alias(f"__t{n}") for n in range(len(ts))])
+    names = [F.col(f"__t{n}") for n in range(len(ts))]
+    hits = written(recs.filter(balanced(names)), "whole-hits")  # judged, and given
+    flags = hits.groupBy("file_id").agg(*[F.bool_or(c).alias(f"__t{n}") for n, c in enumerate(names)])
+    good = flags.filter(_judged(q, ts, names)).select("file_id")
+    return hits.join(good, "file_id", "left_semi").drop(*[f"__t{n}" for n in range(len(ts))])
 
-    good = flags.filter(_judged(q, ts)).select("file_id")
-    some = F.lit(False)
-    for n in range(len(ts)):
-        some = some | F.col(f"__t{n}")
-    return recs.filter(some).join(good, "file_id", "left_semi").select("file_id", "rec_no", "rec")
+
+def search_near(files: DataFrame, pattern: str, limit: int = 256, index: I.Index | None = None, delim: str = "\n", **options) -> DataFrame:
+    """(file_id, rec_no, rec): records with an occurrence of the first word of an AND that has an occurrence of every other
+    word of it within `limit` characters in the file. Words are looked for as parts of index words."""
+    q, o = _parsed(pattern, options)
+    ts = P.terms(q)
+    if any(not isinstance(x, (P.And, P.Term)) for x in P.nodes(q)) or any(not P.literal(P.lex(t.text)[1]).isalpha() for t in ts) or o.errors:
+        raise P.PatternError("proximity takes an AND of words")
+    files = narrowed(files.select("file_id", "text"), q, o, index)
+    first, *others = [P.literal(P.lex(t.text)[1]) for t in ts]
+    places = I.near_in_files(files, first, others, limit)
+    recs = T.records(files, delim, True)
+    spans = recs.select("file_id", "begin", F.greatest(F.col("end") - F.col("begin"), F.lit(1)).alias("len"), F.col("rec_no").alias("attr_id"))
+    held = A.region_join(places, spans).select("file_id", F.col("attr_id").alias("rec_no")).distinct()
+    return recs.join(held, ["file_id", "rec_no"], "left_semi").select("file_id", "rec_no", "rec")
 
 
 def search_attributes(values: DataFrame, pattern: str, **options) -> DataFrame:
-    """(file_id, name, value): the pattern judged over the attribute values (file_id, name, value) of whole files; terms
+    """(file_id, name, value, ...): the pattern judged over the attribute values (file_id, name, value, ...) of whole files; terms
     limited to an attribute match only there. Of the files that satisfy it, every value with one of its terms."""
-    o = P.Options(**options)
-    q = P.parse(pattern, o.constant)
-    P.validate(q, o)
+    q, o = _parsed(pattern, options)
     ts = P.terms(q)
     for n, t in enumerate(ts):
         values = values.withColumn(f"__t{n}", query_column(t, F.col("value"), o, F.col("name")))
-    flags = values.groupBy("file_id").agg(*[F.bool_or(f"__t{n}").alias(f"__t{n}") for n in range(len(ts))])
-    some = F.lit(False)
-    for n in range(len(ts)):
-        some = some | F.col(f"__t{n}")
-    good = flags.filter(_judged(q, ts)).select("file_id")
-    return values.filter(some).join(good, "file_id", "left_semi").select("file_id", "name", "value")
+    names = [F.col(f"__t{n}") for n in range(len(ts))]
+    flags = values.groupBy("file_id").agg(*[F.bool_or(c).alias(f"__t{n}") for n, c in enumerate(names)])
+    good = flags.filter(_judged(q, ts, names)).select("file_id")
+    return values.filter(balanced(names)).join(good, "file_id", "left_semi").drop(*[f"__t{n}" for n in range(len(ts))])
 
 
-def _judged(q: P.Query, ts: list[P.Term]) -> Column:
-    """The tree over the flags __t0, __t1, ... of its terms."""
+def _judged(q: P.Query, ts: list[P.Term], flags: list[Column]) -> Column:
+    """The tree over the flags of its terms."""
     if isinstance(q, P.Term):
-        return F.col(f"__t{ts.index(q)}")
+        return flags[ts.index(q)]
     if isinstance(q, P.Not):
-        return ~_judged(q.of, ts)
-    a, b = _judged(q.left, ts), _judged(q.right, ts)
+        return ~_judged(q.of, ts, flags)
+    a, b = _judged(q.left, ts, flags), _judged(q.right, ts, flags)
     return a & b if isinstance(q, P.And) else a | b
 
 
@@ -119,7 +235,7 @@ def limit_files(hits: DataFrame, n: int) -> DataFrame:
     if not n:
         return hits
     first = hits.select("file_id").distinct().orderBy("file_id").limit(n)
-    return hits.join(F.broadcast(first), "file_id", "left_semi")
+    return hits.join(F.broadcast(first) if n <= I.BROADCAST_ROWS else first, "file_id", "left_semi")
 
 
 def limit_total(hits: DataFrame, n: int) -> DataFrame:
@@ -138,20 +254,31 @@ def whole_files(files: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def which_patterns(recs: DataFrame, patterns: list[str], icase: bool = False) -> DataFrame:
-    """(file_id, rec_no, pattern): each of the literal patterns a record contains."""
-    value = F.lower("rec") if icase else F.col("rec")
-    listed = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(value, F.lower(p) if icase else p))
-    return recs.select("file_id", "rec_no", F.explode(listed).alias("pattern"))
-
-
-def best_match(files: DataFrame, pattern: str, most: int = 8) -> DataFrame:
-    """(file_id, rec_no, rec, dist): the records with the fewest edits for the literal pattern, at most `most` and fewer
-    than its length; edits are tried from 0 up, so the costly programs run only where nothing nearer exists."""
-    recs = T.records(files)
-    for k in range(min(most, len(pattern) - 1) + 1):
-        hits = searched(recs, P.Term(pattern), P.Options(errors=k, constant=True))
-        if hits.limit(1).count():
+    """(file_id, rec_no, pattern, ...): each of the literal patterns a record (file_id, rec_no, rec, ...) contains; other
+    columns stay."""
+    return recs.select(*recs.columns, F.explode(all_in(patterns, F.col("rec"), icase)).alias("pattern"))
+
+
+def best_match(files: DataFrame, pattern: str, most: int = 8, delim: str = "\n", **options) -> DataFrame:
+    """(file_id, rec_no, rec, dist): the records with the fewest edits for the pattern, at most `most` and fewer than its
+    length. The edits allowed are doubled until a record has a match, then the least distance of those records counts."""
+    q, o = _parsed(pattern, options)
+    if not isinstance(q, P.Term):
+        raise P.PatternError("the best match is of one term")
+    parts = P.lex(q.text, o.constant)[1]
+    most = min(most, sum(p[0] in ("char", "class", "any") for p in parts) - 1, P.MAX_REGEX_ERRORS if P.is_regex(parts) else P.MAX_ERRORS)
+    recs = T.records(files, delim)
+    for k in [k for k in (0, 1, 2, 4, 8) if k < most] + [most]:
+        near = replace(o, errors=k)
+        hits = searched(recs, q, near)
+        if k <= 1:
+            if rows_below(hits, 0):
+                continue
             return hits.withColumn("dist", F.lit(k))
+        ranked = written(hits.withColumn("dist", approx.term_distance(F.col("rec"), q.text, near)), "best-match")
+        least = ranked.agg(F.min("dist")).first()[0]
+        if least is not None:
+            return ranked.filter(F.col("dist") == least)
     return recs.limit(0).withColumn("dist", F.lit(0))
 
 
@@ -166,7 +293,20 @@ def by_path(files: DataFrame, pattern: str, inverse: bool = False, **options) ->
     return files.filter(F.col("path").isNotNull() & (~cond if inverse else cond))
 
 
-def stale_union(files: DataFrame, pattern: str, index: I.Index, built_at: Column, **options) -> DataFrame:
-    """Search where files newer than the index are read in full and the others through it."""
+def stale_union(files: DataFrame, find, index: I.Index, built_at: Column) -> DataFrame:
+    """A search where files newer than the index are read in full and the others through it. find: (files, index) to hits."""
     new = F.coalesce(F.col("mtime") > built_at, F.lit(True))
-    return search(files.filter(~new), pattern, index, **options).unionByName(search(files.filter(new), pattern, **options))
+    return find(files.filter(~new), index).unionByName(find(files.filter(new), None))
+
+
+def index_offsets(q: P.Query, o: P.Options, idx: I.Index) -> DataFrame:
+    """(file_id, offsets ARRAY): of the candidate files of the pattern, the offsets of all index words that its terms need. A
+    pattern the index can say nothing about gives none."""
+    tree = P.needed(q, o, T.MAX_WORD)
+    if tree is None:
+        return idx.offsets.limit(0).select("file_id", "offsets")
+    word = F.col("word")
+    hit = balanced([I.holds(word, *leaf) for leaf in _leaves(tree)])
+    found = idx.words(list(_leaves(tree)))
+    rows = idx.offsets.filter(hit) if found is None else idx.posted({w for ws in found.values() for w in ws}, "offsets")
+    return candidate_files(q, o, idx).of(I.offset_union(rows, F.lit(True))) if found is not None else I.offset_union(rows, F.lit(True))

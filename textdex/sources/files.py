@@ -7,19 +7,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textdex.plans.compile import balanced
 from textdex.plans.pattern import glob_to_pattern
 
 # Suffixes of files that are never text.
 SKIPPED_SUFFIXES = ("gz", "Z", "z", "zip", "o", "hqx", "tar", "zoo", "arj", "lha", "gif", "jpg", "jpeg", "tiff", "tif", "ps", "eps", "dvi", "au", "mpeg", "exe")
-HTML_SUFFIXES = ("html", "htm", "shtml")
+HTML_SUFFIXES = ("htm", "html", "shtm", "shtml", "jhtml", "phtml", "HTM", "HTML", "abra")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(file_id, path, size, mtime, text) of all files under `root`; ids follow the order of the paths."""
+    """(file_id, path, size, mtime, text) of all files under `root`, bytes that are no UTF-8 as U+FFFD; an id is a hash of the path, so it stays
+    when other files come and go (index.renumbered gives ids without holes)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    files = r.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = r.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return files.withColumn("file_id", F.xxhash64("path"))
 
 
@@ -33,11 +35,11 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 def path_matches(path: Column, globs: Sequence[str]) -> Column:
     """Whether `path` matches one of the globs (see pattern.glob_to_pattern); none matches nothing."""
-    out = F.lit(False)
+    tests = []
     for g in globs:
         p, plain = glob_to_pattern(g)
-        out = out | (path.contains(p) if plain else path.rlike(p))
-    return out
+        tests.append(path.contains(p) if plain else path.rlike(p))
+    return balanced(tests)
 
 
 def suffix(path: Column) -> Column:
@@ -103,17 +105,40 @@ def kind(text: Column) -> Column:
     )
 
 
+def classified(files: DataFrame, exclude: Sequence[str] = (), include: Sequence[str] = (), include_first: bool = False, toplevel: Column | None = None, type_tests: bool = True) -> DataFrame:
+    """`files` (path, text, ...) with reason: why a file is taken or not (see admission), and with type_tests the kind of
+    those taken by default that are no text. Files of the include list and those named directly are not tested; a null text
+    is text."""
+    reason = admission(F.col("path"), exclude, include, include_first, toplevel)
+    if not type_tests:
+        return files.withColumn("reason", reason)
+    other = F.coalesce(kind(F.col("text")), F.lit("text"))
+    return files.withColumn("reason", reason).withColumn("reason", F.when((F.col("reason") == "default") & (other != "text"), other).otherwise(F.col("reason")))
+
+
+def file_info(path: Column, text: Column) -> Column:
+    """Information about a file: the title of one with the suffix of an HTML file, null for others."""
+    return F.when(path.contains(".") & suffix(path).isin(*HTML_SUFFIXES), html_title(text))
+
+
 def html_title(html: Column) -> Column:
     """The first title, line ends as blanks, : quoted; "No Title" without one."""
     title = F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
     return F.when(title == "", "No Title").otherwise(F.replace(F.replace(title, F.lit("\n"), F.lit(" ")), F.lit(":"), F.lit("\\:")))
 
 
+# Entities and what they stand for; & last.
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&deg;", "°"), ("&auml;", "ä"), ("&ouml;", "ö"),
+    ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&amp;", "&"),
+)
+
+
 def html_to_text(html: Column) -> Column:
     """Comments, scripts, styles and tags gone, common entities replaced, blanks collapsed."""
     out = F.regexp_replace(html, r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>", " ")
     out = F.regexp_replace(out, r"(?s)<[A-Za-z/!][^>]*>", " ")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for entity, c in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(c))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 

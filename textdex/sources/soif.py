@@ -74,6 +74,41 @@ def from_fields(lines: DataFrame, sep: str = ":", strip_digit: bool = False) ->
     return out.select("file_id", "name", "value", F.col("n").cast("int").alias("n"))
 
 
+def lsm_url(fields: DataFrame) -> DataFrame:
+    """(file_id, url): where the software a record describes lies, ftp://site/path/file of its fields Site, Path and File;
+    null where Site or File is missing. fields: (file_id, name, value, n); the first of several fields counts."""
+    pick = lambda name: F.min_by(F.when(F.col("name") == name, F.trim("value")), F.when(F.col("name") == name, F.col("n")))
+    rows = fields.groupBy("file_id").agg(pick("Site").alias("site"), pick("Path").alias("path"), pick("File").alias("file"))
+    folder = F.regexp_replace(F.coalesce("path", F.lit("")), "^/+|/+$", "")
+    return rows.select("file_id", F.when(F.col("site").isNotNull() & F.col("file").isNotNull(), F.concat(F.lit("ftp://"), "site", F.when(folder == "", "/").otherwise(F.concat(F.lit("/"), folder, F.lit("/"))), "file")).alias("url"))
+
+
+def seed_records(lines: DataFrame) -> DataFrame:
+    """(domain, organisation, host) of seed files: lines %D domain, %O organisation, %H hosts. Each host of a record is a
+    row; a record without hosts is one row. lines: (file_id, rec_no, rec); a line %D begins a record."""
+    rows = lines.filter(F.col("rec").rlike("^%[DOH][ \t]")).select("file_id", "rec_no", F.substring("rec", 2, 1).alias("kind"), F.trim(F.expr("substring(rec, 3)")).alias("value"))
+    order = Window.partitionBy("file_id").orderBy("rec_no")
+    rows = rows.withColumn("n", F.sum((F.col("kind") == "D").cast("int")).over(order)).filter("n > 0")
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    hosts = F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == "H", F.split("value", "[ \t]+")))))
+    out = rows.groupBy("file_id", "n").agg(pick("D").alias("domain"), pick("O").alias("organisation"), hosts.alias("hosts"))
+    return out.select("domain", "organisation", F.explode_outer("hosts").alias("host"))
+
+
+def domain_text(domains: DataFrame) -> DataFrame:
+    """(domain2, text): one structured record for each second-level domain of `by_domain`."""
+    joined = lambda c: F.array_join(c, "\n")
+    pair = lambda name, c: F.struct(F.lit(name).alias("name"), joined(c).alias("value"))
+    attrs = F.array(pair("Domain", F.col("domains")), pair("Organization", F.col("organisations")), pair("Hosts", F.col("hosts")))
+    return domains.select("domain2", sorted_text(F.lit("DOMAIN"), F.concat(F.lit("nop:"), F.col("domain2")), attrs).alias("text"))
+
+
+def sorted_text(type: Column, url: Column, attrs: Column) -> Column:
+    """`write_text` with the attributes in order of their names and without empty ones."""
+    pairs = F.transform(F.filter(attrs, lambda a: F.coalesce(a["value"] != "", F.lit(False))), lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value")))
+    return write_text(type, url, F.array_sort(pairs))
+
+
 def pc_index(lines: DataFrame) -> DataFrame:
     """(file_id, rec_no, path, date, size, description) of lines (("." "p1" ... "name") "date" size "desc")."""
     q = r'^\(\(((?:"[^"]*"\s*)+)\)\s*"([^"]*)"\s*(\d+)\s*"([^"]*)"\)\s*$'
