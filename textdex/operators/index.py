@@ -296,8 +296,9 @@ def one_of(column: Column, values: list) -> Column:
     return balanced([column == v for v in values])
 
 
-#: Bytes of postings in one file of a saved index, by the estimate of the plan, and bytes of a row group.
-FILE_BYTES, GROUP_BYTES = 64 << 20, 4 << 20
+#: Bytes of a table in one file of a saved index at most, and at least where there are as many files as tasks, by the estimate
+#: of the plan; bytes of a row group.
+FILE_BYTES, LEAST_BYTES, GROUP_BYTES = 64 << 20, 128 << 10, 4 << 20
 #: Words or files that a lookup collects and pushes to a scan, at most; with more it joins.
 MOST_PUSHED = 2000
 #: A list of an AND this many times longer than the shortest one is not read: the texts decide.
@@ -439,7 +440,7 @@ class Index:
 def _pieces(table: DataFrame) -> int:
     """Files to write a table in, by the planner's estimate of its bytes; no job."""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(20_000, -(-size // FILE_BYTES)))
+    return max(1, min(20_000, max(-(-size // FILE_BYTES), min(tasks_of(table.sparkSession), size // LEAST_BYTES))))
 
 
 def _long_files(files: DataFrame, numbers: bool) -> DataFrame:

@@ -26,6 +26,8 @@ CUT = 4
 BUCKETS = 8
 #: Items the sketch tracks per cut-off share; its error is about 1/TRACK of the cut-off.
 TRACK = 16
+#: Items a sketch of the engine can track.
+MOST_TRACKED = 1_000_000
 
 
 @dataclass
@@ -60,10 +62,11 @@ def pack(loads: list[tuple[float, object]], tasks: int) -> dict[object, int]:
 def plan_load(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
     """Load plan of `df` for the key columns `keys`; null is a key like any other. An empty `df` gives a plan too."""
     tasks = tasks or tasks_of(df.sparkSession)
-    slots, buckets = CUT * tasks, BUCKETS * tasks
+    # the sketch tracks at most MOST_TRACKED items: with more tasks than that allows the cut-off is a larger part of a task's
+    # share, still at most one share up to MOST_TRACKED / TRACK tasks, and the sketch keeps its error bound
+    slots, buckets = min(CUT * tasks, MOST_TRACKED // TRACK), BUCKETS * tasks
     hashes = df.select(_key_hash(keys).alias("__h"))
-    track = min(1_000_000, TRACK * slots)
-    top = hashes.agg(F.expr(f"approx_top_k(__h, {min(slots, track)}, {track})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    top = hashes.agg(F.expr(f"approx_top_k(__h, {slots}, {TRACK * slots})").alias("top"), F.count(F.lit(1)).alias("n")).first()
     total = top["n"]
     counts = {r["b"]: r["n"] for r in hashes.groupBy(F.pmod("__h", F.lit(buckets)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = max(1.0, total / (2 * tasks))
@@ -82,7 +85,9 @@ def plan_load(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> L
 
 def _binned(df: DataFrame, plan: LoadPlan, keys: Sequence[str]) -> DataFrame:
     """`df` with __h, __bins (null unless the key is cut) and __light, the bin of its bucket."""
-    light = F.element_at(F.lit(plan.light), (F.pmod("__h", F.lit(len(plan.light))) + 1).cast("int"))
+    # one literal, which the planner makes an array once
+    bins = F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>")
+    light = F.element_at(bins, (F.pmod("__h", F.lit(len(plan.light))) + 1).cast("int"))
     return df.withColumn("__h", _key_hash(keys)).join(plan.heavy_rows(df.sparkSession), "__h", "left").withColumn("__light", light.cast("int"))
 
 

@@ -805,7 +805,7 @@ def kind_query(name: str, f, yes, no=None, sql: str = "doc_id % 3 = 0") -> None:
 
 
 _UU = "begin 644 x\nM"
-kind_query("is_binary", SF.is_binary, "\x01" * 300, "\x01" * 20)
+kind_query("is_binary", SF.is_binary, "\x01" * 300, "\x01" * 5 + "x" * 100)
 kind_query("is_uuencode", SF.is_uuencoded, _UU + "#" * 60 + "\nM" + "#" * 60 + "\n", _UU + "#" * 100 + "\nM" + "#" * 60 + "\n")
 kind_query("is_postscript", SF.is_postscript, "%!PS-Adobe-3.0\n", "%!\nPS-Adobe-3.0\n")
 _DISTINCT = " ".join(chr(97 + n // 676) + chr(97 + n // 26 % 26) + chr(97 + n % 26) for n in range(2000))
