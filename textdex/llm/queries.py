@@ -121,6 +121,24 @@ QUALIFY row_number() OVER (PARTITION BY file_id, rec_no ORDER BY score DESC, wor
 """
 
 
+# The one form by SQL's own functions: what the tables hold of presentation forms, blanks, invisible characters and letters
+# of other scripts, written out by rule.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_BLANKS = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+_ALIKE = {c: plain for plain, others in looks.LOOK_ALIKE.items() for c in others}
+_FROM = _WIDE + _BLANKS + "".join(_ALIKE)
+_TO = "".join(map(chr, range(0x21, 0x7F))) + " " * len(_BLANKS) + "".join(_ALIKE.values())
+_GONE = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in looks.IGNORABLE) + "\\x00-\\x08\\x0E-\\x1F\\x7F]"
+_FORM = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+for _a, _b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("…", "...")):
+    _FORM = f"replace({_FORM}, '{_a}', '{_b}')"
+_FROM_SQL, _TO_SQL = (x.replace("'", "''") for x in (_FROM, _TO))
+P8_FORMS = f"""f AS (SELECT doc_id, text, nfc_normalize(translate(regexp_replace({_FORM}, '{_GONE}', '', 'g'), '{_FROM_SQL}', '{_TO_SQL}')) AS form FROM documents WHERE text IS NOT NULL),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '[^ \\t\\n]'))"""
+P8_SQL = f"WITH {P8_FORMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
+P8C_SQL = f"WITH {P8_FORMS}, c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS n_texts FROM g GROUP BY 1 HAVING count(DISTINCT text) > 1) SELECT doc_id, class_id, n_texts FROM g JOIN c USING (form)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_totals, p4_found, p5_found, p5_zscores, p6_ids, p7_found, p7_leaks, p8_found, p8_classes)}
 
@@ -128,5 +146,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL, "p1_incremental": P1_SQL, "p2_found": f"SELECT word FROM ({P2_SQL})", "p2_totals": P2_SQL,
-        "p5_found": P5_SQL, "p5_zscores": P5Z_SQL,
+        "p5_found": P5_SQL, "p5_zscores": P5Z_SQL, "p8_found": P8_SQL, "p8_classes": P8C_SQL,
     }
