@@ -306,9 +306,10 @@ LONGER = 20
 
 
 def write_sorted(rows: DataFrame, path: str, keys: list[str], buckets: int) -> None:
-    """Rows in ranges of the first key, sorted within files, so that a lookup reads the row groups its key can be in."""
-    out = rows.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
-    out.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(path)
+    """Rows in ranges of the first key, sorted within files, so that a lookup reads the row groups its key can be in. File
+    numbers ascend within a word, so they are kept as differences and not in a dictionary."""
+    writer = rows.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd")
+    writer.option("parquet.block.size", GROUP_BYTES).option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#file_id", "false").parquet(path)
 
 
 @dataclass

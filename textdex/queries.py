@@ -777,6 +777,13 @@ def include_over_exclude(spark, d):
     return f.select("file_id", SF.admission(F.col("path"), ["*tai*"], ["*.html"], include_first=True).alias("reason"))
 
 
+@query(f"WITH {FIL} SELECT file_id, CASE WHEN contains(path, '/arc/') THEN 'toplevel' ELSE {ADMIT} END AS reason FROM f WHERE path <> ''")
+def scan_toplevel(spark, d):
+    """Files named directly skip the exclude list."""
+    f = files(spark, d).filter("path <> ''")
+    return f.select("file_id", SF.admission(F.col("path"), ["*tai*"], ["*.html"], toplevel=F.col("path").contains("/arc/")).alias("reason"))
+
+
 @query(f"WITH {FIL} SELECT file_id, path FROM f WHERE regexp_matches(path, '/arc/.*s.\\.txt$')")
 def glob_exclude(spark, d):
     return files(spark, d).filter(SF.path_matches(F.col("path"), ["/arc/*s?.txt$"])).select("file_id", "path")
