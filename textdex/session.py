@@ -41,10 +41,13 @@ _SCOPES: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A fresh shared path for intermediate data: removed at the end of the session, or of the innermost open scope."""
-    path = shared_dir(spark, what)
-    fs, at = _file_system(spark, path)
+    """A fresh shared path for intermediate data: removed at the end of the session, or of the innermost open scope. All
+    paths of a session lie in one folder, which is made here: only what is there can be marked for removal."""
+    base = shared_dir(spark, "").rsplit("/", 1)[0] + f"/textdex-{spark.sparkContext.applicationId}"
+    fs, at = _file_system(spark, base)
+    fs.mkdirs(at)
     fs.deleteOnExit(at)
+    path = f"{base}/{what}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
     return path
@@ -60,7 +63,6 @@ def scope(spark: SparkSession) -> Iterator[None]:
         for path in _SCOPES.pop():
             fs, at = _file_system(spark, path)
             fs.delete(at, True)
-            fs.cancelDeleteOnExit(at)
 
 
 def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
