@@ -89,7 +89,7 @@ def test_filters_deleted_and_structured(spark, tmp_path):
     s = Corpus.from_df(spark.createDataFrame([(1, text), (2, text.replace("cats", "owls"))], "file_id long, text string"))
     assert [tuple(r) for r in s.request(["-a", "title=cat;body=dog"]).collect()] == [("1", "title", "cats"), ("1", "body", "dogs")]
     i = c.index(offsets=True)
-    assert [tuple(r) for r in i.request(["-NQ", "-g", "-i", "-z", "oud"]).collect()] == [(1, 0), (2, 0)]
+    assert sorted(tuple(r) for r in i.request(["-NQ", "-g", "-i", "-z", "oud"]).collect()) == [(1, 0), (2, 0)]
     assert [r.word for r in i.request(["-E", "lou"]).collect()] == ["loud"]
     assert i.reload().request(["-l", "-z", "LOUD"]).count() == 1
 
