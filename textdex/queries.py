@@ -818,7 +818,7 @@ kind_query("is_postscript", SF.is_postscript, "%!PS-Adobe-3.0\n", "%!\nPS-Adobe-
 _DISTINCT = " ".join(chr(97 + n // 676) + chr(97 + n // 26 % 26) + chr(97 + n % 26) for n in range(2000))
 kind_query("is_heavy", SF.is_dictionary_like, _DISTINCT, "a b c " * 1300)
 _SEPARATED = "length(text) >= 2048 AND CASE WHEN length(regexp_replace(text, '[^\\n /]', '', 'g')) = 0 THEN true ELSE (length(text) - length(regexp_replace(text, '[^\\n /]', '', 'g'))) // length(regexp_replace(text, '[^\\n /]', '', 'g')) > 18 END"
-kind_query("is_hqx", SF.is_few_separators, "x" * 400_000, "x " * 2000, f"doc_id % 3 = 0 OR (doc_id % 3 = 2 AND {_SEPARATED})")
+kind_query("is_hqx", SF.is_few_separators, "x" * 100_000, "x " * 2000, f"doc_id % 3 = 0 OR (doc_id % 3 = 2 AND {_SEPARATED})")
 
 
 @query("SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'binary' ELSE CASE WHEN doc_id % 3 = 1 THEN 'include' ELSE 'default' END END AS reason FROM documents WHERE text IS NOT NULL")
