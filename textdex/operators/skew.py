@@ -1,6 +1,6 @@
 """Per-key work without stragglers: fragment-replicate by estimated load.
 
-A load plan is made from two scans of the key column alone: the counts of a fixed number of hash buckets and a
+A load plan is made from one scan of the key column alone: the counts of a fixed number of hash buckets and a
 frequent-items sketch. Keys above their share are cut into shards in proportion to their load; shards and buckets are
 packed to tasks, heaviest first into the emptiest task. Only the matching rows of cut keys are replicated, and only to
 the tasks that hold one of their shards. Every key above the cut-off is found by the sketch (its error bound lies well
@@ -64,11 +64,14 @@ def plan_load(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> L
     tasks = tasks or tasks_of(df.sparkSession)
     # the sketch tracks at most MOST_TRACKED items: with more tasks than that allows the cut-off is a larger part of a task's
     # share, still at most one share up to MOST_TRACKED / TRACK tasks, and the sketch keeps its error bound
-    slots, buckets = min(CUT * tasks, MOST_TRACKED // TRACK), BUCKETS * tasks
+    slots, buckets = min(CUT * tasks, MOST_TRACKED // TRACK), min(BUCKETS * tasks, MOST_TRACKED // 2)
     hashes = df.select(_key_hash(keys).alias("__h"))
-    top = hashes.agg(F.expr(f"approx_top_k(__h, {slots}, {TRACK * slots})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    # one scan: a sketch that tracks more items than there are buckets counts them exactly
+    top = hashes.agg(
+        F.expr(f"approx_top_k(__h, {slots}, {TRACK * slots})").alias("top"), F.expr(f"approx_top_k(pmod(__h, {buckets}), {buckets}, {2 * buckets})").alias("buckets"), F.count(F.lit(1)).alias("n"),
+    ).first()
     total = top["n"]
-    counts = {r["b"]: r["n"] for r in hashes.groupBy(F.pmod("__h", F.lit(buckets)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["item"]: r["count"] for r in top["buckets"] or []}
     share = max(1.0, total / (2 * tasks))
     items: list[tuple[float, object]] = []
     shards: dict[int, int] = {}
