@@ -474,6 +474,12 @@ def _whole(cond: str, some: str) -> str:
 
 @query(_whole("bool_or(contains(rec, 'would')) AND bool_or(contains(rec, 'there'))", "contains(rec, 'would') OR contains(rec, 'there')"))
 def whole_file_and(spark, d):
+    return S.search_whole(docs(spark, d), "would;there")
+
+
+@query(_whole("bool_or(contains(rec, 'would')) AND bool_or(contains(rec, 'there'))", "contains(rec, 'would') OR contains(rec, 'there')"))
+def whole_file_indexed(spark, d):
+    """The same through a saved index."""
     idx = saved(spark, d)
     return S.search_whole(idx.texts, "would;there", index=idx)
 
