@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import same
+from textdex import queries as core
 from textdex.functions import compress
 from textdex.functions.approx import subsequence_within
 from textdex.functions import text as T
@@ -106,6 +108,29 @@ def test_stop_rule(spark):
     assert I.stop_words_share(v, 254).count() == 0
 
 
+@pytest.mark.parametrize("total", [4_000_000, 5_000_000, 2_147_483_647, 2_147_483_648])
+def test_stop_rule_by_density(spark, total):
+    least = -(-500 * total // 1_048_576)  # the product passes an int from 4.3 million bytes on
+    v = spark.createDataFrame([("common", 9, least), ("rare", 9, least - 1), ("none", 9, 0)], "word string, df long, tf long")
+    assert [r.word for r in I.stop_words_density(v, total).collect()] == ["common"]
+
+
+def test_stop_rule_without_text(spark):
+    assert I.stop_words_density(spark.createDataFrame([("word", 1, 1)], "word string, df long, tf long"), None).count() == 0
+
+
+def test_stop_list_mb_of_more_text(spark, tmp_path):
+    text = F.concat(F.lit("the cat "), F.repeat(F.lit("sat on "), 6000), F.concat(F.lit("file "), F.col("doc_id").cast("string")))
+    d = spark.range(150).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 50 != 0, text).alias("text"), F.lit(None).cast("timestamp").alias("received_at"))
+    d.coalesce(1).write.parquet(str(tmp_path / "made"))
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(folder / "documents.parquet")
+    df = core.queries()["stop_list_mb"](spark, str(folder))
+    assert sorted(r.word for r in df.collect()) == ["on", "sat"]
+    same(df, core.oracle_sql()["stop_list_mb"], str(folder))
+
+
 def test_save_and_open(files, spark, tmp_path):
     I.Index.build(files).save(str(tmp_path / "i"), 2)
     idx = I.Index.open(spark, str(tmp_path / "i"))

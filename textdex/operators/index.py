@@ -116,7 +116,8 @@ def stop_words_share(vocab: DataFrame, n_files: int, percent: float = 80, least_
 
 def stop_words_density(vocab: DataFrame, total_bytes: int, per_mb: int = 500) -> DataFrame:
     """Words with at least `per_mb` occurrences for each megabyte of text."""
-    return vocab.filter(F.col("tf") * 1_048_576 >= F.lit(per_mb) * F.lit(total_bytes))
+    # a total that fits an int is one as a literal, and its product may not be
+    return vocab.filter(F.col("tf") * 1_048_576 >= F.lit(per_mb) * F.lit(total_bytes).cast("long"))
 
 
 def new_words(postings: DataFrame) -> DataFrame:
